@@ -1 +1,8 @@
 """Search and analysis of spoken-audio transcripts, expressed as Spark DataFrame plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Python functions travel to the executors whole, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
