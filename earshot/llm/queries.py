@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import fusion, nearest, queries_turns, queries_vectors, terms
+from earshot.llm import fusion, nearest, queries_repetition, queries_sizes, queries_turns, queries_vectors, terms
 from earshot.operators.versions import latest
 from earshot.sources.tables import table
 
@@ -107,7 +107,7 @@ WHERE place <= 3
 
 QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found}
 SQL = {"p1_found": P1_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL, "p7_found": P7_SQL}
-for _m in (queries_turns, queries_vectors):
+for _m in (queries_turns, queries_vectors, queries_sizes, queries_repetition):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL
 
