@@ -37,15 +37,9 @@ def content_tokens(toks: Column) -> Column:
 
 
 def counted_tokens(toks: Column) -> Column:
-    """Array of (term, first): every token, ``first`` 1 on one occurrence of each distinct token and 0 on the others.
+    """Array of (term, first): every token with ``first`` 0, and once more every distinct token with ``first`` 1.
 
-    Sorting the row's own tokens lets one pass count both occurrences and rows, without a shuffle by (row, term).
+    So one pass counts both occurrences and rows, without a shuffle by (row, term).
     """
-    ordered = F.array_sort(toks)
-    return F.transform(
-        ordered,
-        lambda t, i: F.struct(
-            t.alias("term"),
-            F.when((i > 0) & (F.get(ordered, i - 1) == t), 0).otherwise(1).cast("long").alias("first"),
-        ),
-    )
+    mark = lambda n: lambda t: F.struct(t.alias("term"), F.lit(n).cast("long").alias("first"))
+    return F.concat(F.transform(toks, mark(0)), F.transform(F.array_distinct(toks), mark(1)))
