@@ -24,11 +24,10 @@ def term_changes(changes: DataFrame, text: str = "text", sign: str = "sign") ->
     """
     rows = changes.where(F.col(text).isNotNull() & (F.col(text) != "")).select(tokens(F.col(text)).alias("t"), F.col(sign).alias("s"))
     itself = F.array(F.struct(F.lit(RECORDS).alias("term"), F.lit(1).cast("long").alias("first")))
-    rows = rows.select("s", F.inline(F.concat(counted_tokens(F.col("t")), itself)))
-    counts = rows.groupBy("term").agg(
-        F.sum(F.col("s").cast("long")).alias("n_total"), F.sum(F.col("s") * F.col("first")).alias("n_records")
+    rows = rows.select(F.col("s").cast("long").alias("s"), F.inline(F.concat(counted_tokens(F.col("t")), itself)))
+    return rows.groupBy("term").agg(
+        F.sum(F.col("s") * (1 - F.col("first"))).alias("n_total"), F.sum(F.col("s") * F.col("first")).alias("n_records")
     )
-    return counts
 
 
 class TermCounts:
