@@ -43,3 +43,57 @@ def counted_tokens(toks: Column) -> Column:
     """
     mark = lambda n: lambda t: F.struct(t.alias("term"), F.lit(n).cast("long").alias("first"))
     return F.concat(F.transform(toks, mark(0)), F.transform(F.array_distinct(toks), mark(1)))
+
+
+def minutes(seconds: Column) -> Column:
+    """Seconds as MM:SS.s, rounded to a tenth before the minutes are split off (59.96 is 01:00.0). Null stays null."""
+    t = F.round(seconds.cast("double"), 1)
+    whole = F.floor(t / 60).cast("int")
+    return F.when(t.isNotNull(), F.format_string("%02d:%04.1f", whole, t - whole * 60))
+
+
+def is_question(text: Column) -> Column:
+    """Whether a text ends with a question mark, blanks aside. Null counts as no."""
+    return F.coalesce(F.rtrim(text).endswith("?"), F.lit(False))
+
+
+#: Abbreviations whose full stop ends no sentence.
+ABBREVIATIONS = """
+dr. mr. mrs. ms. st. jr. sr. prof. vs. etc. e.g. i.e. u.s. u.k. a.m. p.m. no. approx. inc. co. lt. col. gen. sgt.
+""".split()
+
+
+def ends_sentence(word: Column) -> Column:
+    """Whether a word ends a sentence: . ? or ! before closing quotes or brackets, abbreviations and initials apart."""
+    low = F.lower(word)
+    short = low.isin(ABBREVIATIONS) | low.rlike(r"^(?:[a-z]\.){2,}$")
+    return F.coalesce(~short & word.rlike(r"""[.?!]["')\]]*$"""), F.lit(False))
+
+
+def quote(text: Column, longest: int = 240) -> Column:
+    """A text of at most ``longest`` characters; a longer one is cut and ends in '...'."""
+    return F.when(F.length(text) > longest, F.concat(F.substring(text, 1, longest - 3), F.lit("..."))).otherwise(text)
+
+
+def file_slug(name: Column) -> Column:
+    """A safe id from a file's name: its stem, lower case, other characters than a-z and 0-9 as '_', 48 characters at most."""
+    base = F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"(?<=.)\.[^.]*$", "")
+    base = F.regexp_replace(F.lower(base), "[^a-z0-9]+", "_")
+    base = F.substring(F.regexp_replace(base, "^_+|_+$", ""), 1, 48)
+    return F.when(base == "", "recording").otherwise(base)
+
+
+def label_reference(ref: Column) -> Column:
+    """Struct (file, a, b, grade) of 'file:a-b@grade'; b defaults to a, grade to 2. Null if it has another form."""
+    form = r"^([a-z0-9_]+):(\d+)(?:-(\d+))?(?:@([12]))?$"
+    part = lambda i: F.regexp_extract(F.trim(ref), form, i)
+    number = lambda c: F.when(c != "", c).cast("int")
+    a = number(part(2))
+    struct = F.struct(part(1).alias("file"), a.alias("a"), F.coalesce(number(part(3)), a).alias("b"), F.coalesce(number(part(4)), F.lit(2)).alias("grade"))
+    return F.when(part(1) != "", struct)
+
+
+def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
+    """The length two intervals share, as a share of the shorter one."""
+    shared = F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0))
+    return shared / F.greatest(F.least(a1 - a0, b1 - b0), F.lit(1e-6))

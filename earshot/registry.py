@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from earshot.plans import interval_queries
+from earshot.plans import interval_queries, search_queries, text_queries
 
-MODULES = [interval_queries]
+MODULES = [text_queries, search_queries, interval_queries]
 FLAGSHIP = "p3_found"
 
 
