@@ -12,19 +12,38 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from earshot.operators.search import if_small
 from earshot.session import cut
 
-SKETCH_BITS = 128
+#: A sketch has this many coordinates of four bits.
+SKETCH = 64
+STEP = 0.5
 ROWS = 2048
+SKETCHED = [f"s{i}" for i in range(SKETCH // 16)]
 
 
 def _planes(dim: int, trees: int, symbols: int, seed: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Random directions of the hash strings and of the sketch; the bits of one symbol."""
+    """Random directions of the hash strings, a random rotation for the sketch, and the bits of one symbol."""
     width = 1 << max(1, min(6, int(math.log2(dim))))
     rng = np.random.default_rng(seed)
     strings = rng.standard_normal((dim, trees * symbols * width)).astype(np.float32)
-    sketch = rng.standard_normal((dim, SKETCH_BITS)).astype(np.float32)
-    return strings, sketch, int(math.log2(width)) + 1
+    turn = np.linalg.qr(rng.standard_normal((max(dim, SKETCH), max(dim, SKETCH))))[0][:dim, :SKETCH]
+    # coordinates of a unit vector then have a spread of about 1
+    return strings, (turn * math.sqrt(max(dim, SKETCH))).astype(np.float32), int(math.log2(width)) + 1
+
+
+def _packed(x: np.ndarray) -> np.ndarray:
+    """Coordinates as four-bit steps, sixteen to a number."""
+    q = (np.clip(np.round(x / STEP), -8, 7).astype(np.int8) + 8).astype(np.uint8)
+    return (q[:, ::2] << 4 | q[:, 1::2]).view(np.int64)
+
+
+def _unpacked(parts: list[np.ndarray]) -> np.ndarray:
+    """Unit-like vectors from sketches: their dot products are cosines but for rounding."""
+    b = np.ascontiguousarray(np.stack(parts, 1)).view(np.uint8)
+    q = np.empty((len(b), SKETCH), np.float32)
+    q[:, ::2], q[:, 1::2] = b >> 4, b & 15
+    return (q - 8) * np.float32(STEP / math.sqrt(SKETCH))
 
 
 def _hasher(dim: int, trees: int, symbols: int, seed: int):
@@ -53,17 +72,17 @@ def _hasher(dim: int, trees: int, symbols: int, seed: int):
                 code = np.zeros((len(x), trees), np.int64)
                 for s in range(symbols):
                     code = (code << bits) | symbol[:, :, s]
-                signs = np.packbits((x @ sketch) > 0, axis=1).view(np.int64)
-                columns = [ids.cast(pa.string()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(signs[:, 0]), pa.array(signs[:, 1])]
+                rough = _packed(x @ sketch)
+                columns = [ids.cast(pa.string()), *[pa.array(c) for c in (*prints.T, *rough.T)]]
                 columns += [pa.array(code[:, t]) for t in range(trees)]
                 columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dim, dtype=np.int32)), pa.array(x.ravel())))
-                names = ["id", "p0", "p1", "s0", "s1", *[f"h{t}" for t in range(trees)], "v"]
+                names = ["id", "p0", "p1", *SKETCHED, *[f"h{t}" for t in range(trees)], "v"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def _walker(reach: int, bits: int, symbols: int, farthest: int):
+def _walker(reach: int, bits: int, symbols: int, least: float):
     """Compare each row of the sorted strings with the ``reach`` rows before it; emit those whose sketches are near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,25 +93,21 @@ def _walker(reach: int, bits: int, symbols: int, farthest: int):
             if tail is not None:
                 old = len(tail[0])
                 cols = [np.concatenate([a, b]) for a, b in zip(tail, cols)]
-            tree, code, p0, p1, s0, s1 = cols
-            s0, s1 = s0.view(np.uint64), s1.view(np.uint64)  # bits of signed numbers would be counted without the sign
+            tree, code, prints = cols[:3]
+            rough = _unpacked(cols[3:])
             found = []
             for d in range(1, min(reach, len(tree) - 1) + 1):
                 b = np.arange(max(d, old), len(tree))
                 a = b - d
                 # at least the first symbol in common: the prefix may be of any length down to that
-                ok = (tree[a] == tree[b]) & ((code[a] ^ code[b]) >> (bits * (symbols - 1)) == 0)
+                ok = (tree[a] == tree[b]) & ((code[a] ^ code[b]) >> (bits * (symbols - 1)) == 0) & (prints[a] != prints[b])
                 a, b = a[ok], b[ok]
-                apart = np.bitwise_count(s0[a] ^ s0[b]).astype(np.int16) + np.bitwise_count(s1[a] ^ s1[b])
-                ok = (apart <= farthest) & ((p0[a] != p0[b]) | (p1[a] != p1[b]))
+                ok = np.einsum("ij,ij->i", rough[a], rough[b]) >= least
                 found.append((a[ok], b[ok]))
             tail = [c[-reach:] for c in cols]
-            if not found:
-                continue
-            a, b = (np.concatenate(x) for x in zip(*found))
-            swap = (p0[a] > p0[b]) | ((p0[a] == p0[b]) & (p1[a] > p1[b]))
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (p0[a], p1[a], p0[b], p1[b])], ["a0", "a1", "b0", "b1"])
+            if found:
+                a, b = (prints[np.concatenate(x)] for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
 
@@ -105,7 +120,7 @@ def most_similar(
     dim: int,
     k: int = 3,
     min_cosine: float = 0.9,
-    trees: int = 16,
+    trees: int = 12,
     symbols: int = 4,
     reach: int = 16,
     seed: int = 7,
@@ -116,8 +131,8 @@ def most_similar(
     vector, with its sign). Each tree is the sorted array of its strings. The neighbours of a row in that order are met in
     the order of their longest common prefix, so walking outwards from a row in all trees at once is the descent to the
     longest match and the joint ascent to shorter ones; the walk ends ``reach`` rows away or where not even the first
-    symbol agrees. A sketch of 128 signs drops rows that can't reach ``min_cosine`` (five standard deviations of slack),
-    then the exact cosine decides.
+    symbol agrees. A sketch of four-bit coordinates drops rows that can't reach ``min_cosine`` (more than four standard
+    deviations of slack), then the exact cosine decides.
 
     Exact copies (also at another length) are one class in the forest; afterwards each copy is linked to the first
     ``k`` + 1 ids of its class and of the classes near it, so a group of copies gives links in proportion to its size.
@@ -128,36 +143,36 @@ def most_similar(
     """
     _, _, bits = _planes(dim, 1, 1, seed)
     hashed = ["h%d" % t for t in range(trees)]
-    fields = ["id string", *[f"{c} long" for c in ("p0", "p1", "s0", "s1", *hashed)], "v array<float>"]
+    fields = ["id string", *[f"{c} long" for c in ("p0", "p1", *SKETCHED, *hashed)], "v array<float>"]
     source = df.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
     members = cut(source.mapInArrow(_hasher(dim, trees, symbols, seed), ", ".join(fields)), "forest-vectors")
-    one = [F.first(c).alias(c) for c in ("s0", "s1", *hashed)]
+    one = [F.first(c).alias(c) for c in (*SKETCHED, *hashed)]
     classes = cut(members.groupBy("p0", "p1").agg(*one), "forest-classes")
 
     rows = F.array(*[F.struct(F.lit(t).alias("tree"), F.col(h).alias("code")) for t, h in enumerate(hashed)])
-    forest = classes.select(F.inline(rows), "p0", "p1", "s0", "s1")
+    forest = classes.select(F.inline(rows), "p0", *SKETCHED)
     forest = forest.repartitionByRange("tree", "code", "p0").sortWithinPartitions("tree", "code", "p0")
-    share = math.acos(max(-1.0, min(1.0, min_cosine))) / math.pi
-    farthest = math.ceil(SKETCH_BITS * share + 5 * math.sqrt(SKETCH_BITS * share * (1 - share)))
-    pairs = forest.mapInArrow(_walker(reach, bits, symbols, farthest), "a0 long, a1 long, b0 long, b1 long").distinct()
-    pairs = cut(pairs, "forest-pairs")
-
-    ends = pairs.select(F.inline(F.array(F.struct(F.col("a0").alias("p0"), F.col("a1").alias("p1")), F.struct(F.col("b0").alias("p0"), F.col("b1").alias("p1"))))).distinct()
-    vectors = members.select("p0", "p1", "v").join(ends, ["p0", "p1"]).groupBy("p0", "p1").agg(F.first("v").alias("v"))
-    vectors = cut(vectors, "forest-near")
-    va = vectors.select(F.col("p0").alias("a0"), F.col("p1").alias("a1"), F.col("v").alias("va"))
-    vb = vectors.select(F.col("p0").alias("b0"), F.col("p1").alias("b1"), F.col("v").alias("vb"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    near = pairs.join(va, ["a0", "a1"]).join(vb, ["b0", "b1"]).withColumn("cosine", dot).where(F.col("cosine") >= min_cosine)
-    near = near.select("a0", "a1", "b0", "b1", "cosine")
-
-    ids = members.select("id", "p0", "p1").distinct()
-    first = ids.withColumn("r", F.row_number().over(Window.partitionBy("p0", "p1").orderBy("id"))).where(F.col("r") <= k + 1)
-    both = near.unionByName(near.select(F.col("b0").alias("a0"), F.col("b1").alias("a1"), F.col("a0").alias("b0"), F.col("a1").alias("b1"), "cosine"))
-    copies = first.where("r = 2").select(F.col("p0").alias("a0"), F.col("p1").alias("a1"), F.col("p0").alias("b0"), F.col("p1").alias("b1"), F.lit(1.0).alias("cosine"))
-    other = first.select(F.col("p0").alias("b0"), F.col("p1").alias("b1"), F.col("id").alias("other"))
-    lists = both.unionByName(copies).join(other, ["b0", "b1"])
-    best = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(F.col("cosine").desc(), F.col("other")))
-    lists = lists.withColumn("r", best("a0", "a1")).where(F.col("r") <= k + 1).select(F.col("a0").alias("p0"), F.col("a1").alias("p1"), "other", "cosine")
-    links = ids.join(lists, ["p0", "p1"]).where("id <> other").withColumn("r", best("id")).where(F.col("r") <= k)
-    return links.select("id", "other", "cosine")
+    least = min_cosine - (0.12 if dim <= SKETCH else 0.16)
+    pairs = cut(forest.mapInArrow(_walker(reach, bits, symbols, least), "a long, b long").distinct(), "forest-pairs")
+
+    # only vectors of some pair are looked at again; two vectors of one first print would both be
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("p0")).distinct()
+    near = members.join(if_small(ends), "p0").groupBy("p0", "p1").agg(F.first("v").alias("v"))
+    near = cut(near.select(F.struct("p0", "p1").alias("c"), "p0", "v"), "forest-near")
+    va = near.select(F.col("p0").alias("a"), F.col("c").alias("ca"), F.col("v").alias("va"))
+    vb = near.select(F.col("p0").alias("b"), F.col("c").alias("cb"), F.col("v").alias("vb"))
+    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    links = pairs.join(va, "a").join(vb, "b").select("ca", "cb", dot.alias("cosine")).where(F.col("cosine") >= min_cosine)
+    links = cut(links, "forest-links")
+
+    # copies of a class are linked to its first ids, and so are the classes near it
+    ids = members.select("id", F.struct("p0", "p1").alias("c")).distinct()
+    first = ids.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy("id"))).where(F.col("r") <= k + 1)
+    copied = first.where("r = 2").select("c", F.col("c").alias("d"), F.lit(1.0).alias("cosine"))
+    both = links.select(F.col("ca").alias("c"), F.col("cb").alias("d"), "cosine").unionByName(links.select(F.col("cb").alias("c"), F.col("ca").alias("d"), "cosine"))
+    lists = cut(both.unionByName(copied), "forest-lists")
+    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.col("cosine").desc(), F.col("other")))
+    other = first.select(F.col("c").alias("d"), F.col("id").alias("other")).join(if_small(lists.select("d").distinct()), "d")
+    lists = lists.join(other, "d").withColumn("r", best("c")).where(F.col("r") <= k + 1).select("c", "other", "cosine")
+    pairs = ids.join(if_small(lists), "c").where("id <> other").withColumn("r", best("id")).where(F.col("r") <= k)
+    return pairs.select("id", "other", "cosine")
