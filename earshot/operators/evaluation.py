@@ -87,10 +87,10 @@ def merge_close(labels: DataFrame, *, gap_sec: float = 10.0, longest: int = 240)
     return merged.withColumn("quote", cut).drop("__run", "__n")
 
 
-def resolve_labels(refs: DataFrame, utterances: DataFrame) -> DataFrame:
+def resolve_labels(refs: DataFrame, utterances: DataFrame, *, digits: int = 2) -> DataFrame:
     """(query_id, ref, file_id, start_sec, end_sec, grade, quote, error) of references 'file:a-b@grade' (query_id, ref).
 
-    Times are rounded to hundredths; ``error`` says what is wrong with a reference that can't be resolved: another form,
+    Times are rounded to ``digits`` places; ``error`` says what is wrong with a reference that can't be resolved: another form,
     or utterances out of bounds.
     """
     rows = refs.select("query_id", "ref", label_reference(F.col("ref")).alias("r"))
@@ -103,7 +103,7 @@ def resolve_labels(refs: DataFrame, utterances: DataFrame) -> DataFrame:
     whole = F.col("n") == F.col("r.b") - F.col("r.a") + 1
     error = F.when(F.col("r").isNull(), "bad reference").when(~whole, "utterance range out of bounds")
     return got.select(
-        "query_id", "ref", F.col("r.file").alias("file_id"), F.round("s", 2).alias("start_sec"), F.round("e", 2).alias("end_sec"),
+        "query_id", "ref", F.col("r.file").alias("file_id"), F.round("s", digits).alias("start_sec"), F.round("e", digits).alias("end_sec"),
         F.col("r.grade").alias("grade"), quote(F.col("q")).alias("quote"), error.alias("error"),
     )
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from earshot.plans import interval_queries, search_queries, text_queries
+from earshot.plans import interval_queries, quality_queries, search, search_queries, segment_queries, text_queries
 
-MODULES = [text_queries, search_queries, interval_queries]
-FLAGSHIP = "p3_found"
+MODULES = [text_queries, search_queries, search, segment_queries, quality_queries, interval_queries]
+FLAGSHIP = "hybrid_search"
 
 
 def queries() -> dict:
