@@ -25,6 +25,22 @@ def maxsim(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select("l", "r", F.round(total, 6).alias("score"))
 
 
+def packed_maxsim(left: Column, right: Column, width: int) -> Column:
+    """The same score of two texts kept by ``pack_half``: one matrix product per pair, in Arrow batches."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x, y):
+            if x is None or y is None:
+                return None
+            q, d = (np.frombuffer(v, np.float16).astype(np.float32).reshape(-1, width) for v in (x, y))
+            return float((d @ q.T).max(0).sum()) if len(q) and len(d) else 0.0
+
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return run(left, right)
+
+
 def pack_half(vectors: Column) -> Column:
     """An array of vectors as bytes of half-precision numbers."""
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,24 +93,18 @@ def distinct_moments(moments: DataFrame, *, gap_sec: float = 10.0, most_overlap:
     reach = F.max("__b").over(along.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("__new", F.when(F.col("__a") <= reach, 0).otherwise(1))
     rows = rows.withColumn("__island", F.sum("__new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    narrow = rows.select("query_id", "file_id", "__island", "rank", "idx", "start_sec", "p_start", "p_end")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        for m in pdf.sort_values("rank")[["rank", "idx", "start_sec", "p_start", "p_end"]].itertuples(index=False, name=None):
-            _, i, s, a0, a1 = m
-            near = any(
-                i == j or abs(s - t) < gap_sec or max(0.0, min(a1, b1) - max(a0, b0)) / max(min(a1 - a0, b1 - b0), 1e-6) > most_overlap
-                for _, j, t, b0, b1 in kept
-            )
-            if not near:
-                kept.append(m)
-        first = pdf.iloc[0]
-        return pd.DataFrame({"query_id": first["query_id"], "rank": [m[0] for m in kept]}).astype({"rank": "int64"})
-
-    kinds = dict(moments.dtypes)
-    kept = narrow.groupBy("query_id", "file_id", "__island").applyInPandas(greedy, f"query_id {kinds['query_id']}, rank long")
-    kept = kept.select("query_id", F.col("rank").cast(kinds["rank"]).alias("rank"))
+    one = F.struct(*[F.col(c).alias(n) for c, n in (("rank", "r"), ("idx", "i"), ("start_sec", "s"), ("p_start", "a"), ("p_end", "b"))])
+    islands = rows.groupBy("query_id", "file_id", "__island").agg(F.array_sort(F.collect_list(one)).alias("ms"))
+    none = F.slice("ms", 1, 0)
+
+    def near(k, m):
+        close = F.coalesce(k["i"] == m["i"], F.lit(False)) | (F.abs(k["s"] - m["s"]) < gap_sec)
+        return close | F.coalesce(overlap(k["a"], k["b"], m["a"], m["b"]) > most_overlap, F.lit(False))
+
+    step = lambda kept, m: F.when(F.exists(kept, lambda k: near(k, m)), kept).otherwise(F.concat(kept, F.array(m)))
+    alone = islands.where("size(ms) = 1").select("query_id", "ms")
+    more = islands.where("size(ms) > 1").select("query_id", F.aggregate("ms", none, step).alias("ms"))
+    kept = alone.unionByName(more).select("query_id", F.explode("ms").alias("m")).select("query_id", F.col("m.r").alias("rank"))
     return moments.join(kept, ["query_id", "rank"])
 
 
