@@ -17,6 +17,8 @@ from earshot.session import cut
 WORD = re.compile(r"\w+")
 #: Character classes: lower case, upper case, other letters, digits, blanks, the rest.
 N_CLASSES = 6
+#: Names the number of texts among the counts.
+TEXTS = " texts"
 RUN = 5
 
 
@@ -71,41 +73,48 @@ def _counter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     table = _classes()
     for pdf in batches:
         words: dict[str, Counter] = defaultdict(Counter)
+        texts: dict[str, int] = Counter()
         chars: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(N_CLASSES))
         for lang, text in zip(pdf["lang"], pdf["text"]):
             words[lang].update(WORD.findall(text.lower()))
             chars[lang] += class_counts(text, table)
+            texts[lang] += 1
         rows = [(lang, w, n) for lang, c in words.items() for w, n in c.items()]
+        rows += [(lang, TEXTS, n) for lang, n in texts.items()]
         rows += [(lang, f" {i}", int(n)) for lang, c in chars.items() for i, n in enumerate(c)]
         yield pd.DataFrame(rows, columns=["lang", "term", "n"])
 
 
-def language_references(texts: DataFrame, *, common_words: int = 300, languages: int = 200) -> dict:
+def language_references(texts: DataFrame, *, common_words: int = 300, least_texts: int = 200) -> dict:
     """{language: ({word: place}, word histogram, class histogram)} over all texts (lang, text); '' is of all languages.
 
-    Counting covers every text; each task adds up its own words before the shuffle. What comes to the driver is bounded:
-    ``common_words`` words of each of the ``languages`` largest languages. Texts of other languages are held against ''.
+    Equal texts count once, however often they were copied. Counting covers every text; each task adds up its own words
+    before the shuffle. A language is held to be known from ``least_texts`` distinct texts on. What comes to the driver is
+    ``common_words`` words of each known language: bounded, as languages are few next to texts (at most 1000 are taken,
+    the largest).
     """
-    counts = texts.mapInPandas(_counter, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    once = texts.groupBy("lang", F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.first("text").alias("text"))
+    counts = once.select("lang", "text").mapInPandas(_counter, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
     counts = cut(counts, "language-counts")
-    is_class = F.col("term").startswith(" ")
-    large = counts.where(~is_class).groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.col("total").desc(), "lang").limit(languages)
+    special = F.col("term").startswith(" ")
+    known = counts.where((F.col("term") == TEXTS) & (F.col("n") >= least_texts)).orderBy(F.col("n").desc(), "lang").limit(1000)
     pooled = counts.groupBy("term").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "term", "n")
-    every = counts.join(F.broadcast(large.select("lang")), "lang").select("lang", "term", "n").unionByName(pooled)
+    every = counts.where("lang <> ''").join(F.broadcast(known.select("lang")), "lang").select("lang", "term", "n").unionByName(pooled)
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "term")
-    top = every.where(~is_class).withColumn("r", F.row_number().over(order)).where(F.col("r") <= common_words).drop("r")
-    sums = every.where(~is_class).groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(None).cast("string").alias("term"), "n")
-    rows = top.unionByName(every.where(is_class)).unionByName(sums).collect()
+    top = every.where(~special).withColumn("r", F.row_number().over(order)).where(F.col("r") <= common_words).drop("r")
+    sums = every.where(~special).groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(None).cast("string").alias("term"), "n")
+    by: dict = defaultdict(list)
+    for r in top.unionByName(every.where(special)).unionByName(sums).collect():
+        by[r.lang].append((r.term, r.n))
     out: dict = {}
-    for lang in {r.lang for r in rows}:
-        mine = [r for r in rows if r.lang == lang]
-        common = sorted(((r.n, r.term) for r in mine if r.term and r.term[0] != " "), key=lambda x: (-x[0], x[1]))
-        total = next(r.n for r in mine if r.term is None) if any(r.term is None for r in mine) else 0
+    for lang, mine in by.items():
+        common = sorted(((n, w) for w, n in mine if w is not None and w[0] != " "), key=lambda x: (-x[0], x[1]))
+        total = sum(n for w, n in mine if w is None)
         hist = np.array([n for n, _ in common] + [total - sum(n for n, _ in common)], np.float64)
         chars = np.zeros(N_CLASSES)
-        for r in mine:
-            if r.term and r.term[0] == " ":
-                chars[int(r.term)] = r.n
+        for w, n in mine:
+            if w is not None and w[0] == " " and w != TEXTS:
+                chars[int(w)] = n
         out[lang] = ({w: i for i, (_, w) in enumerate(common)}, hist, chars)
     return out
 
@@ -121,11 +130,12 @@ def _measurer(references: dict, min_words: int, screen: float, power: float, cha
                 by_word = by_class = None
                 suspect = True
                 if n >= min_words:  # histograms of shorter texts say nothing: they go to the exact measure
-                    common, hist, chars = references.get(lang) or references[""]
+                    known = lang in references and lang != ""
+                    common, hist, chars = references[lang if known else ""]
                     place, rest = common.get, len(common)
                     mine = np.bincount([place(w, rest) for w in words], minlength=rest + 1).astype(np.float64)
                     by_word, by_class = divergence(mine, hist), divergence(class_counts(text, table), chars)
-                    suspect = by_word >= screen * n**-power or by_class >= char_screen
+                    suspect = not known or by_word >= screen * n**-power or by_class >= char_screen
                 rows.append((key, n, by_word, by_class, suspect, repeated_share(words) if suspect else None))
             yield pd.DataFrame(rows, columns=["k", "n_words", "word_distance", "class_distance", "suspect", "share"])
 
@@ -148,10 +158,11 @@ def repetition(
     A text that repeats itself strays from its language: its histogram of common words, and of character classes, is held
     against that of all texts of the language by the Jensen-Shannon distance. The word distance of honest texts falls with
     their length n; a text is suspect from ``screen * n ** -power`` on (or from ``char_screen`` for classes). Texts under
-    ``min_words`` words are too short for histograms and always suspect. The exact share of words in repeated runs is
+    ``min_words`` words are too short for histograms and always suspect, and so are texts of no language or of one with too
+    few texts for a reference: those are held against all texts, for the record. The exact share of words in repeated runs is
     measured for suspects; for the others it is null: they may repeat a little, not much.
 
-    Null or blank text: no words, distances null, share 0. A null or unknown language is held against all texts. Each text
+    Null or blank text: no words, distances null, share 0. Each text
     is worked on alone, however long; repeated rows give repeated results. An empty table gives an empty result.
     """
     rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
