@@ -13,6 +13,15 @@ what how why when where who which whose whom is are was were do does did can cou
 will has have had tell explain describe
 """.split()
 
+#: Fixed value: what the sentence encoder expects before a query (never before a passage).
+QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
+
+
+def encoder_input(text: Column, *, is_query: bool) -> Column:
+    """The text that a sentence encoder is given."""
+    return F.concat(F.lit(QUERY_PREFIX), text) if is_query else text
+
+
 ROLE = r"(?i)\brole:(host|guest)\b"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from earshot.operators import evaluation, library
-from earshot.plans.sql import A, C, H, U
+from earshot.plans.sql import A, C, H, S, U
 from earshot.sources import catalog
 from earshot.sources.tables import table
 from earshot.streaming import sessions
@@ -84,6 +84,16 @@ def orphan_hits(spark, folder):
     return library.orphans(catalog.hits(spark, folder, "file_id"), catalog.audio_files(spark, folder, "title"), ["file_id"]).select("hit_id", "file_id")
 
 
+def ingest_summary(spark, folder):
+    """What came in per recording: utterances, words, and who has which role."""
+    u = catalog.utterances(spark, folder, "text")
+    n = F.size(F.filter(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != ""))
+    sums = u.groupBy("file_id").agg(F.count(F.lit(1)).alias("utterances"), F.sum(n).alias("words"))
+    who = F.concat("label", F.lit("="), "role")
+    s = catalog.speakers(spark, folder).groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_list(who)), " ").alias("roles"))
+    return sums.join(s, "file_id", "left")
+
+
 def event_sessions(spark, folder):
     rows = sessions.activity_sessions(table(spark, folder, "events"), gap="8 hours")
     return rows.select("user_id", *[F.unix_micros(F.col(c).cast("timestamp")).alias(f"{c}_us") for c in ("begin", "finish")], "n")
@@ -97,7 +107,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         interval_eval_join, recall_mrr, label_merge, label_ranges, frozen_labels, category_counts, library_listing, set_equality, removal, duplicate_ids,
-        not_built, orphan_hits, event_sessions,
+        not_built, orphan_hits, ingest_summary, event_sessions,
     )
 }
 _SUMS = ["n_match", "n_related", "ok_match", "ok_related", "labels", *[f"{x}_{k}" for k in KS for x in ("found", "best")]]
@@ -139,6 +149,9 @@ SQL = {
     "duplicate_ids": "SELECT file_id FROM audio_files GROUP BY file_id HAVING count(*) > 1",
     "not_built": "SELECT DISTINCT file_id FROM audio_files WHERE file_id NOT IN (SELECT file_id FROM utterances)",
     "orphan_hits": f"WITH {H} SELECT hit_id, file_id FROM h WHERE file_id IS NULL OR file_id NOT IN (SELECT file_id FROM audio_files)",
+    "ingest_summary": rf"""WITH {U}, {S}, x AS (SELECT file_id, count(*) AS utterances, CAST(sum(len(list_filter(string_split_regex(trim(coalesce(text, '')), '\s+'), lambda w: w <> ''))) AS BIGINT) AS words FROM u GROUP BY file_id),
+        y AS (SELECT file_id, string_agg(label || '=' || role, ' ' ORDER BY label || '=' || role) AS roles FROM s GROUP BY file_id)
+        SELECT x.file_id, utterances, words, roles FROM x LEFT JOIN y USING (file_id)""",
     "event_sessions": """WITH x AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 8 HOUR THEN 0 ELSE 1 END AS nw FROM events),
         y AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM x)
         SELECT user_id, epoch_us(min(ts)) AS begin_us, epoch_us(max(ts) + INTERVAL 8 HOUR) AS finish_us, count(*) AS n FROM y GROUP BY user_id, run""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from earshot.plans import interval_queries, quality_queries, search, search_queries, segment_queries, text_queries
 
 MODULES = [text_queries, search_queries, search, segment_queries, quality_queries, interval_queries]
-FLAGSHIP = "hybrid_search"
+FLAGSHIP = "bm25_topk"
 
 
 def queries() -> dict:
