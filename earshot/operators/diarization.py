@@ -21,14 +21,67 @@ def affinity(x: np.ndarray, prune: float = 0.3) -> np.ndarray:
     return graph
 
 
-def two_voices(emb: np.ndarray, prune: float = 0.3, rounds: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """The unit vectors and the two centroids: a spectral cut of the graph, then a few rounds of reassignment."""
-    x = emb / np.maximum(np.linalg.norm(emb, axis=1, keepdims=True), 1e-8)
-    graph = affinity(x, prune)
-    root = 1 / np.sqrt(graph.sum(1))
-    _, vectors = np.linalg.eigh(root[:, None] * graph * root[None, :])
+def cut_vector(x: np.ndarray, prune: float = 0.3, width: int = 8, entries: int = 8_000_000) -> np.ndarray:
+    """The second eigenvector of the graph of ``affinity``, scaled back, without the graph: it is made anew, ``entries``
+    at a time, whenever it is multiplied with a block of ``width`` vectors (block Lanczos until the vector holds)."""
+    n = len(x)
+    keep = min(n, max(2, math.ceil(prune * n)))
+    x = x.astype(np.float32)
+    step = max(1, entries // n)
+    least = np.concatenate([np.partition(x[a : a + step] @ x.T, n - keep, axis=1)[:, n - keep] for a in range(0, n, step)])
+
+    def times(u: np.ndarray) -> np.ndarray:
+        u, out = u.astype(np.float32), np.zeros(u.shape)
+        for a in range(0, n, step):
+            s = x[a : a + step] @ x.T
+            s[s < np.maximum(least[a : a + step], 0)[:, None]] = 0
+            s[np.arange(len(s)), np.arange(a, a + len(s))] = 1
+            out[a : a + step] += s @ u / 2
+            out += s.T @ u[a : a + step] / 2
+        return out
+
+    root = 1 / np.sqrt(times(np.ones((n, 1))))
+    first = 1 / root / np.linalg.norm(1 / root)  # the largest, known beforehand
+    width = min(width, n - 1)
+    block = np.random.default_rng(0).standard_normal((n, width))
+    q, w = np.zeros((n, 0)), np.zeros((n, 0))
+    while True:
+        for _ in range(2):
+            block = block - first @ (first.T @ block)
+            block = block - q @ (q.T @ block)
+            block = np.linalg.qr(block)[0]
+        w = np.hstack([w, root * times(root * block)])
+        q = np.hstack([q, block])
+        inner = q.T @ w
+        values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+        found = q @ vectors[:, -1]
+        image = w @ vectors[:, -1]
+        off = np.linalg.norm(image - first[:, 0] * (first[:, 0] @ image) - values[-1] * found)
+        gap = values[-1] - values[-2] if len(values) > 1 else 1.0
+        if off <= max(1e-3 * gap, 1e-6) or q.shape[1] + width > n - 1:
+            return found * root[:, 0]
+        block = w[:, -width:]
+
+
+def two_voices(emb: np.ndarray, prune: float = 0.3, rounds: int = 5, most: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+    """The unit vectors and the two centroids: a spectral cut of the graph, then a few rounds of reassignment.
+
+    The graph of more than ``most`` vectors is never held whole.
+    """
+    norm = np.linalg.norm(emb, axis=1, keepdims=True)
+    x = emb / np.maximum(norm, 1e-8)
+    # an all-zero vector has no neighbours and would be a part of the graph by itself
+    known = np.flatnonzero(norm[:, 0] > 0)
     # the second largest eigenvector, scaled back, has one sign on either side of the cut
-    labels = (vectors[:, -2] * root > 0).astype(int) if len(x) > 1 else np.zeros(len(x), int)
+    if len(known) > max(most, 1):
+        second = cut_vector(x[known], prune)
+    else:
+        graph = affinity(x[known], prune) if len(known) > 1 else np.ones((1, 1))
+        root = 1 / np.sqrt(graph.sum(1))
+        _, vectors = np.linalg.eigh(root[:, None] * graph * root[None, :])
+        second = vectors[:, -2] * root if len(known) > 1 else np.zeros(len(known))
+    labels = np.zeros(len(x), int)
+    labels[known] = second > 0
     for _ in range(rounds):
         mean = [x[labels == k].mean(0) if (labels == k).any() else np.zeros(x.shape[1]) for k in (0, 1)]
         centres = np.stack([m / max(np.linalg.norm(m), 1e-8) for m in mean])
@@ -49,18 +102,15 @@ def posteriors(x: np.ndarray, centres: np.ndarray, sharpness: float = 10.0) -> n
 def window_posteriors(windows: DataFrame, *, prune: float = 0.3, most: int = 4000) -> DataFrame:
     """(file_id, n, start_sec, end_sec, p0, p1) from windows (file_id, n, start_sec, end_sec, embedding).
 
-    The graph is quadratic in the windows of a recording, so a longer one is cut into stretches of ``most`` windows whose
-    centroids are matched to those of the first stretch by similarity only within the stretch; each is a task of its own.
+    Each recording is clustered whole, so a voice is the same from its first window to its last. Time is quadratic in the
+    windows of a recording; the graph of more than ``most`` is worked through piece by piece, and memory stays linear.
     """
-    from pyspark.sql import functions as F
-
-    rows = windows.withColumn("__stretch", F.floor(F.col("n") / F.lit(most)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
-        x, centres = two_voices(np.stack(pdf["embedding"].to_numpy()).astype(np.float64), prune)
+        x, centres = two_voices(np.stack(pdf["embedding"].to_numpy()).astype(np.float64), prune, most=most)
         p = posteriors(x, centres)
         return pd.DataFrame({c: pdf[c].to_numpy() for c in ("file_id", "n", "start_sec", "end_sec")}).assign(p0=p[:, 0], p1=p[:, 1])
 
     kinds = "file_id string, n int, start_sec double, end_sec double, p0 double, p1 double"
-    return rows.groupBy("file_id", "__stretch").applyInPandas(run, kinds)
+    return windows.groupBy("file_id").applyInPandas(run, kinds)
