@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401 - makes pa.compute available
 import xxhash
@@ -112,6 +113,90 @@ def _walker(reach: int, bits: int, symbols: int, least: float):
     return run
 
 
+#: Vectors of a crowded region are compared in blocks of so many; leaders are sought among so many at once.
+BLOCK = 8192
+SOUGHT = 2048
+
+
+def _matrix(vectors, dim: int) -> np.ndarray:
+    return np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
+
+
+def _leaders(crowd: DataFrame, dim: int, least: float) -> np.ndarray:
+    """Vectors such that every one of ``crowd`` has a cosine of at least ``least`` to one of them."""
+    leaders = np.zeros((0, dim))
+    while True:
+        found = leaders
+
+        def far(batches: Iterator[pa.RecordBatch], found=found) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(at, ROWS)
+                    if len(found):
+                        batch = batch.filter(pa.array((_matrix(batch.column(0), dim) @ found.T).max(1) < least))
+                    yield batch
+
+        some = crowd.select("v").mapInArrow(far, "v array<float>").limit(SOUGHT).collect()
+        if not some:
+            return leaders
+        x = np.array([r.v for r in some], dtype=np.float64)
+        sim, free, chosen = x @ x.T, np.ones(len(x), bool), []
+        for i in range(len(x)):
+            if free[i]:
+                chosen.append(i)
+                free &= sim[i] < least
+        leaders = np.vstack([leaders, x[chosen]])
+
+
+def _crowded_pairs(vectors: DataFrame, crowded: DataFrame, dim: int, k: int, min_cosine: float) -> DataFrame:
+    """(a, b): each vector of ``crowded`` (p0) with its ``k`` + 1 most similar of all ``vectors`` (p0, v) and those equal to the last.
+
+    Every crowded vector belongs to the nearest of a few leaders. What is near to it can't be further from its leader than
+    the two angles together, so comparing the members of a leader with all vectors within that angle misses none.
+    """
+    crowd = cut(vectors.join(crowded, "p0"), "forest-crowd")
+    leaders = _leaders(crowd, dim, min_cosine)
+    wide = 2 * min_cosine**2 - 1 - 1e-6 if min_cosine > 0 else -2.0
+
+    def near_leaders(members: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(at, ROWS)
+                    sim = _matrix(batch.column(1), dim) @ leaders.T
+                    row, leader = (np.arange(len(sim)), sim.argmax(1)) if members else np.nonzero(sim >= wide)
+                    taken = batch.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([pa.array(leader.astype(np.int32)), *taken.columns], ["leader", "p0", "v"])
+
+        return run
+
+    kinds = "leader int, p0 long, v array<float>"
+    own = cut(crowd.select("p0", "v").mapInArrow(near_leaders(True), kinds), "forest-own")
+    other = cut(vectors.select("p0", "v").mapInArrow(near_leaders(False), kinds), "forest-around")
+    blocks = lambda df, name: df.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name))
+    sizes = cut(blocks(own, "m_of").join(blocks(other, "c_of"), "leader"), "forest-blocks")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = own.join(sizes, "leader").select("leader", F.expr("pmod(p0, m_of)").alias("m"), every("c_of").alias("c"), "p0", "v")
+    other = other.join(sizes, "leader").select("leader", every("m_of").alias("m"), F.expr("pmod(p0, c_of)").alias("c"), "p0", "v")
+
+    def scan(left, right):
+        a, b = left["p0"].to_numpy(), right["p0"].to_numpy()
+        found = []
+        if len(a) and len(b):
+            x, y = (np.stack(d["v"].to_numpy()).astype(np.float64) for d in (left, right))
+            for at in range(0, len(a), 256):
+                sim = x[at : at + 256] @ y.T
+                sim[a[at : at + 256, None] == b[None, :]] = -2
+                least = np.partition(sim, len(b) - k - 1, axis=1)[:, len(b) - k - 1] if len(b) > k + 1 else np.full(len(sim), -1.0)
+                i, j = np.nonzero(sim >= np.maximum(least, min_cosine)[:, None] - 1e-12)
+                found.append((a[at + i], b[j]))
+        i, j = (np.concatenate(z) for z in zip(*found)) if found else (a[:0], a[:0])
+        return pd.DataFrame({"a": np.minimum(i, j), "b": np.maximum(i, j)})
+
+    keys = ["leader", "m", "c"]
+    return own.groupBy(*keys).cogroup(other.groupBy(*keys)).applyInPandas(scan, "a long, b long")
+
+
 def most_similar(
     df: DataFrame,
     id_col: str,
@@ -132,7 +217,9 @@ def most_similar(
     the order of their longest common prefix, so walking outwards from a row in all trees at once is the descent to the
     longest match and the joint ascent to shorter ones; the walk ends ``reach`` rows away or where not even the first
     symbol agrees. A sketch of four-bit coordinates drops rows that can't reach ``min_cosine`` (more than four standard
-    deviations of slack), then the exact cosine decides.
+    deviations of slack), then the exact cosine decides. A vector that met ``reach`` / 2 others or more in this way may have
+    lost its nearest in the crowd: it is compared with all vectors of its region instead (``_crowded_pairs``), in time
+    quadratic in the region.
 
     Exact copies (also at another length) are one class in the forest; afterwards each copy is linked to the first
     ``k`` + 1 ids of its class and of the classes near it, so a group of copies gives links in proportion to its size.
@@ -155,6 +242,14 @@ def most_similar(
     least = min_cosine - (0.12 if dim <= SKETCH else 0.16)
     pairs = cut(forest.mapInArrow(_walker(reach, bits, symbols, least), "a long, b long").distinct(), "forest-pairs")
 
+    met = pairs.select(F.explode(F.array("a", "b")).alias("p0")).groupBy("p0").count()
+    crowded = cut(met.where(F.col("count") >= max(1, reach // 2)).select("p0"), "forest-crowded")
+    if not crowded.isEmpty():
+        vectors = cut(members.groupBy("p0", "p1").agg(F.first("v").alias("v")).select("p0", "v"), "forest-vectors-once")
+        at = lambda c: crowded.select(F.col("p0").alias(c), F.lit(True).alias(f"{c}_in"))
+        open_pairs = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where("a_in is null or b_in is null").select("a", "b")
+        pairs = cut(open_pairs.unionByName(_crowded_pairs(vectors, crowded, dim, k, min_cosine)).distinct(), "forest-all-pairs")
+
     # only vectors of some pair are looked at again; two vectors of one first print would both be
     ends = pairs.select(F.explode(F.array("a", "b")).alias("p0")).distinct()
     near = members.join(if_small(ends), "p0").groupBy("p0", "p1").agg(F.first("v").alias("v"))

@@ -269,6 +269,19 @@ def test_containers(spark):
     assert packing.pack(spark, df.limit(0), "doc", "n", {"s": 10}).count() == 0
 
 
+def test_similar_vectors_of_a_crowded_region(spark):
+    rng = np.random.default_rng(11)
+    crowd = rng.normal(size=64) / 8 + rng.normal(size=(700, 64)) * 0.23 / 8
+    x = np.vstack([crowd, rng.normal(size=(1400, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(f"{i:05d}", v.tolist()) for i, v in enumerate(x)], "key string, vec array<float>")
+    got = {(r.id, r.other) for r in neighbours.most_similar(df, "key", "vec", dim=64).collect()}
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    sim = y @ y.T
+    np.fill_diagonal(sim, -1)
+    want = {(f"{i:05d}", f"{j:05d}") for i in range(len(x)) for j in np.argsort(-sim[i])[:3] if sim[i, j] >= 0.9}
+    assert len(want) > 2000 and len(got & want) / len(want) > 0.999 and len(got) == len(want)
+
+
 # mixing
 
 
