@@ -79,10 +79,9 @@ def passage_overlap(spark, folder):
     c = catalog.chunks(spark, folder, "file_id", "start_sec", "end_sec")
     a, b = c.alias("a"), c.alias("b")
     # neighbours by number within the recording, so the join has equal keys
-    n = lambda x, d: F.col(f"{x}.id") if d == 0 else F.concat(
-        F.regexp_extract(f"{x}.id", r"^(.*_c)\d+$", 1), F.lpad((F.regexp_extract(f"{x}.id", r"(\d+)$", 1).cast("int") + d).cast("string"), 4, "0")
-    )
-    rows = a.join(b, n("a", 1) == n("b", 0))
+    recording = lambda x: F.regexp_extract(f"{x}.id", r"^(.*_c)\d+$", 1)
+    number = lambda x: F.regexp_extract(f"{x}.id", r"(\d+)$", 1).cast("int")
+    rows = a.join(b, (recording("a") == recording("b")) & (number("a") + 1 == number("b")))
     shared = t.overlap(F.col("a.start_sec"), F.col("a.end_sec"), F.col("b.start_sec"), F.col("b.end_sec"))
     return rows.select(F.col("a.id").alias("id"), F.col("b.id").alias("next_id"), F.round(shared, 6).alias("shared"))
 
