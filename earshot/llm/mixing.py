@@ -79,8 +79,13 @@ def route(supply: Mapping[frozenset, int], shares: Mapping[str, float], repeats:
 
 
 def largest_total(supply: Mapping[frozenset, int], shares: Mapping[str, float], repeats: Mapping[str, int]) -> int:
-    """The largest total size at which every source can still reach its share."""
+    """The largest total size at which every source that has texts can still reach its share."""
+    found = {x for p, n in supply.items() if n for x in p if repeats[x]}
+    asked = sum(shares.values())
+    shares = {x: s if x in found else 0.0 for x, s in shares.items()}
     lo, hi = 0, sum(n * max(repeats[x] for x in p) for p, n in supply.items())
+    if 0 < sum(shares.values()) < asked:
+        hi = int(hi * asked / sum(shares.values()))  # the share of those without texts stays unused
     while lo < hi:
         mid = (lo + hi + 1) // 2
         want = sum(int(s * mid) for s in shares.values())
@@ -99,7 +104,7 @@ def mix(
     """(doc_id, source, n_tokens, times, target_share, share) for every row of ``docs`` (doc_id, source, text, n_tokens).
 
     ``targets`` gives each source's share of all tokens and how often its texts may be used. Without ``total`` the mix is
-    the largest one in which every source reaches its share; with it, sources that run short give what they have.
+    the largest one in which every source that has texts reaches its share; with it, sources that run short give what they have.
 
     Equal texts are one text, whatever ids they have; the sources it is found in are its membership pattern. Token sums
     per pattern (at most 2 to the number of sources, in practice few) go to the driver, where a min-cost flow routes them

@@ -315,6 +315,12 @@ def test_a_stated_total_and_nothing_at_all(spark):
     assert mixed(spark, [], {"a": (1.0, 1)}) == {}
 
 
+def test_a_source_without_texts_does_not_bound_the_mix(spark):
+    docs = [(i, "ab"[i % 2], f"t{i}", 10) for i in range(40)]
+    got = mixed(spark, docs, {"a": (0.48, 1), "b": (0.48, 1), "c": (0.04, 1)})
+    assert sum(r.times for r in got.values() if r.source == "a") == sum(r.times for r in got.values() if r.source == "b") == 20
+
+
 # repetition
 
 
