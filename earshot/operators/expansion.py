@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.operators.search import if_small
+from earshot.session import cut
 
 
 def trigrams(word: Column) -> Column:
@@ -57,7 +58,7 @@ def neighbours(words: DataFrame, vocabulary: DataFrame, *, least_similar: float
     computed), equal codes, and for containment the shared trigram of the words' own letters.
     """
     w = words.select("tok", F.col("metaphone").alias("qm"), F.col("dmetaphone").alias("qd"), F.col("dmetaphone_alt").alias("qa"))
-    w = if_small(w)
+    w = if_small(cut(w, "looked-up"), 96)
     keys = lambda c, word: F.explode(trigrams(word)).alias(c)
     by_gram = w.select("tok", keys("g", F.col("tok"))).join(vocabulary.select("term", keys("g", F.col("term"))), "g").select("tok", "term")
     by_sound = w.join(vocabulary, (F.col("qm") == F.col("metaphone")), "inner").select("tok", "term")

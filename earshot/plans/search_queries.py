@@ -75,7 +75,7 @@ def phrase_filter(spark, folder):
     rows = catalog.queries(spark, folder).select("query_id", F.explode(q.parsed(F.col("query_text"))["phrases"]).alias("phrase"))
     rows = rows.distinct().withColumn("pt", t.tokens(F.col("phrase"))).withColumn("first", F.get("pt", 0)).where("first is not null")
     p = passages(spark, folder).withColumn("toks", t.tokens(F.col("text"))).select("id", "toks", F.explode(F.array_distinct("toks")).alias("first"))
-    return p.join(search.if_small(rows), "first").where(search.contains_phrase(F.col("toks"), F.col("pt"))).select("query_id", "phrase", "id")
+    return p.join(search.if_small(cut(rows, "phrases"), 1100), "first").where(search.contains_phrase(F.col("toks"), F.col("pt"))).select("query_id", "phrase", "id")
 
 
 def role_semi_join(spark, folder):
@@ -191,7 +191,7 @@ def maxsim(spark, folder):
     sorted_ = lambda: F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("vectors")
     left = some.agg(sorted_())
     right = e.groupBy(F.floor(F.col("vec_id") / 4).alias("id")).agg(sorted_())
-    pairs = right.select(F.col("id").alias("r")).crossJoin(search.if_small(left.select(F.col("id").alias("l")), 10_000))
+    pairs = right.select(F.col("id").alias("r")).crossJoin(search.if_small(cut(left.select(F.col("id").alias("l")), "asked"), 8))
     return late.maxsim(left, right, pairs)
 
 

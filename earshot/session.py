@@ -14,29 +14,44 @@ _WRITTEN: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is missing (tests on one machine) is a temporary folder made, once per process.
+    Where that setting is missing, a session whose executors all run in this process (master ``local``) gets a temporary
+    folder, once per process. Any other session has to name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="earshot-"))
     return _LOCAL[0]
 
 
+def owned(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted by ``release`` or when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the lineage ends here.
 
-    The written table survives the loss of any executor and is read column by column afterwards.
+    The written table survives the loss of any executor and is read column by column afterwards. It is deleted when the
+    application ends, or before that by ``release``.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
-    df.write.mode("errorifexists").parquet(path)
+    path = owned(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the tables written by ``cut`` so far, once nothing reads them any more; returns how many there were."""
+    """Delete the tables written so far, once nothing reads them any more; returns how many there were.
+
+    For a long-lived application: call it when the result of a query has been written.
+    """
     jvm, n = spark._jvm, len(_WRITTEN)
     while _WRITTEN:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())

@@ -7,26 +7,46 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def replace_file(spark: SparkSession, path: str, text: str) -> None:
+    """Put ``text`` in the place of a small file at once: readers see the old one or the new one, never a part."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fresh = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf)
+    fs = target.getFileSystem(conf)
+    out = fs.create(fresh, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(fresh, target, options)
+
+
+def read_file(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, or None if there is none."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return None
+    stream = fs.open(target)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 class Store:
     """Tables under ``folder``: each rebuild is a new version, visible to readers only once the pointer names it."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _pointer(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/CURRENT")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def current(self) -> str | None:
-        path, fs = self._pointer()
-        if not fs.exists(path):
-            return None
-        stream = fs.open(path)
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
-        finally:
-            stream.close()
+        text = read_file(self.spark, f"{self.folder}/CURRENT")
+        return text and text.strip()
 
     def rebuild(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> str:
         """Write all ``tables`` as a new version, then move the pointer; a failure before that leaves the old version."""
@@ -36,12 +56,7 @@ class Store:
             if partition_by and name in partition_by:
                 writer = writer.partitionBy(*partition_by[name])
             writer.parquet(f"{self.folder}/{version}/{name}")
-        path, fs = self._pointer()
-        out = fs.create(path, True)
-        try:
-            out.write(bytearray(version.encode()))
-        finally:
-            out.close()
+        replace_file(self.spark, f"{self.folder}/CURRENT", version)
         return version
 
     def read(self, name: str, version: str | None = None) -> DataFrame:
