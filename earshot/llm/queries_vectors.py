@@ -15,7 +15,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of utterances, and of chunks, of which one is among the three most similar of the other."""
     parts = []
     for src, key in (("utterances", F.concat("file_id", F.lit(":"), "idx")), ("chunks", F.col("id"))):
-        links = most_similar(table(spark, folder, src).select(key.alias("id"), "embedding"), "id", "embedding", dim=DIM)
+        links = most_similar(table(spark, folder, src).select(key.alias("id"), "embedding"), "id", "embedding", dim=DIM, min_cosine=0.9)
         parts.append(links.select(F.lit(src).alias("src"), F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")))
     return parts[0].unionByName(parts[1]).distinct()
 

@@ -191,7 +191,7 @@ def test_similar_vectors(spark):
     data = [(i, v.tolist(), "o") for i, v in zip(ids, x)]
     odd = [("n", None, "o"), ("e", [], "o"), ("z", [0.0] * 16, "o"), ("s", [1.0] * 3, "o"), ("f", [float("nan")] * 16, "o"), (None, [1.0] * 16, "o"), data[5]]
     df = spark.createDataFrame(data + odd, "key string, vec array<float>, other string")
-    got = {(r.id, r.other) for r in neighbours.most_similar(df, "key", "vec", dim=16).collect()}
+    got = {(r.id, r.other) for r in neighbours.most_similar(df, "key", "vec", dim=16, min_cosine=0.9).collect()}
     want = brute_neighbours(ids, x.astype(np.float64))
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
     assert Counter(a for a, _ in got)["v215"] == 3
@@ -274,7 +274,7 @@ def test_similar_vectors_of_a_crowded_region(spark):
     crowd = rng.normal(size=64) / 8 + rng.normal(size=(700, 64)) * 0.23 / 8
     x = np.vstack([crowd, rng.normal(size=(1400, 64))]).astype(np.float32)
     df = spark.createDataFrame([(f"{i:05d}", v.tolist()) for i, v in enumerate(x)], "key string, vec array<float>")
-    got = {(r.id, r.other) for r in neighbours.most_similar(df, "key", "vec", dim=64).collect()}
+    got = {(r.id, r.other) for r in neighbours.most_similar(df, "key", "vec", dim=64, min_cosine=0.9).collect()}
     y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
     sim = y @ y.T
     np.fill_diagonal(sim, -1)
@@ -282,6 +282,62 @@ def test_similar_vectors_of_a_crowded_region(spark):
     assert len(want) > 2000 and len(got & want) / len(want) > 0.999 and len(got) == len(want)
 
 
+def all_neighbours(x, k=3):
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    sim = y @ y.T
+    np.fill_diagonal(sim, -2)
+    return {(f"{i:05d}", f"{j:05d}"): sim[i, j] for i in range(len(x)) for j in np.argsort(-sim[i])[:k]}
+
+
+@pytest.mark.parametrize("parts", [2, 60])
+@pytest.mark.parametrize("groups,size,noise", [(20, 90, 0.23), (300, 6, 0.2)])
+def test_similar_vectors_at_any_partitioning(spark, parts, groups, size, noise):
+    """Crowded and sparse groups, whatever the number of partitions; without a threshold every vector has three."""
+    rng = np.random.default_rng(5)
+    x = (np.repeat(rng.normal(size=(groups, 64)), size, 0) + rng.normal(size=(groups * size, 64)) * noise).astype(np.float32)
+    df = spark.createDataFrame([(f"{i:05d}", v.tolist()) for i, v in enumerate(x)], "key string, vec array<float>")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        near = {(r.id, r.other) for r in neighbours.most_similar(df, "key", "vec", dim=64, min_cosine=0.9).collect()}
+        every = {(r.id, r.other) for r in neighbours.most_similar(df, "key", "vec", dim=64).collect()} if parts == 2 else None
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    want = all_neighbours(x)
+    above = {p for p, c in want.items() if c >= 0.9}
+    assert len(above & near) >= 0.99 * len(above)
+    if every is not None:
+        assert len(every) == 3 * len(x) and len(every & set(want)) >= 0.95 * len(want)
+
+
+def brute_shared(a, b, length):
+    return next((i for i in range(length) if (a ^ b) >> (length - 1 - i) & 1), length)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_descent_and_ascent_equal_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    n, length, trees = 40, 14, 3
+    codes = rng.integers(0, 1 << length, (n, trees)) & rng.choice([0x3FFF, 0x3F00, 0x3000], (n, 1))
+    steps = np.zeros((n, trees), np.int64)
+    for t in range(trees):
+        order = np.argsort(codes[:, t], kind="stable")
+        deep = neighbours.descents(np.full(n, t), codes[order, t], length)
+        shared = np.array([[brute_shared(int(a), int(b), length) for b in codes[:, t]] for a in codes[:, t]])
+        for j in range(neighbours.STEPS):
+            want = np.sort(shared, axis=1)[:, -(2 << j)] if (2 << j) <= n else np.zeros(n)
+            assert (deep[np.argsort(order), j] == want).all()
+        steps[:, t] = (deep << (neighbours.LEVEL_BITS * np.arange(neighbours.STEPS))).sum(1)[np.argsort(order)]
+    got = neighbours.ascent(steps, trees, 12)
+    for i in range(n):
+        size = lambda x: sum(1 << int(np.log2(m)) for t in range(trees) if (m := sum(brute_shared(int(codes[i, t]), int(c), length) >= x for c in codes[:, t])) > 1)  # noqa: B023, E731
+        # a node of one row holds only the vector itself and adds nothing
+        want = max((x for x in range(length + 1) if size(x) - sum(1 for t in range(trees) if sum(brute_shared(int(codes[i, t]), int(c), length) >= x for c in codes[:, t]) > 1) >= 12), default=0)
+        assert got[i] == want
+
+
 # mixing
 
 
