@@ -35,9 +35,24 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return terms.leading_terms(scores, "id").select(F.col("id").alias("chunk_id"), "term")
 
 
+def p4_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """How characteristic every term of every passage is of it."""
+    chunks = latest(table(spark, folder, "chunks"), ["id"], "ingested_at", ["text"])
+    scores = terms.distinctive_terms(chunks, "id", "text")
+    return scores.select(F.col("id").alias("chunk_id"), "term", "observed", F.round("score", 4).alias("score"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Occurrences and passages of every term, and whether it is of use."""
-    state = terms.term_counts(spark, table(spark, folder, "chunks"), "id", "text", "ingested_at")
+    """Occurrences and passages of every term, and whether it is of use.
+
+    The passages come in two batches, those ingested in the first half of the time and what came later: new passages, and
+    old ones again. The second is merged as signed changes into the counts of the first.
+    """
+    feed = table(spark, folder, "chunks")
+    span = feed.agg(F.unix_micros(F.min("ingested_at")).alias("a"), F.unix_micros(F.max("ingested_at")).alias("b")).first()
+    half = 0 if span.a is None else (span.a + span.b) // 2
+    later = (F.unix_micros("ingested_at") > half).cast("int")
+    state = terms.term_counts(spark, feed, "id", "text", "ingested_at", batch=later, batches=2)
     return terms.marked_terms(state).withColumnRenamed("n_records", "n_chunks")
 
 
@@ -68,18 +83,22 @@ QUALIFY row_number() OVER (PARTITION BY hit_id, edge ORDER BY d, idx) = 1
 
 TOKENS_SQL = """regexp_extract_all(replace(regexp_replace(replace(lower({0}), '’', ''''), '''s\\b', '', 'g'), '''', ''), '[a-z0-9]+')"""
 
-P4_SQL = f"""
+P4_PARTS = f"""
 WITH c AS (SELECT id, max_by(text, ingested_at) AS text FROM chunks GROUP BY id),
 t AS (SELECT id, unnest({TOKENS_SQL.format("text")}) AS term FROM c),
 m AS (SELECT term, count(*) AS tj FROM t GROUP BY term),
 s AS (SELECT CAST(sum(tj) AS DOUBLE) AS n, CAST(count(*) AS DOUBLE) AS v FROM m),
 o AS (SELECT id, term, count(*) AS o, sum(count(*)) OVER (PARTITION BY id) AS ni FROM t GROUP BY id, term),
-x AS (SELECT o.id, o.term, o, ni, n, (tj + 5.0) / (n + 5.0 * v) AS col FROM o JOIN m USING (term) CROSS JOIN s
-      WHERE o.id IN (SELECT chunk_id FROM chunk_probes)),
-z AS (SELECT id, term, sign(o - ni * col) * greatest(abs(o - ni * col) - 0.5, 0) / sqrt(ni * col * (1 - ni / n) * (1 - col)) AS score FROM x)
-SELECT id AS chunk_id, term FROM z QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, term) = 1
+x AS (SELECT o.id, o.term, o, ni, n, (tj + 5.0) / (n + 5.0 * v) AS col FROM o JOIN m USING (term) CROSS JOIN s),
+z AS (SELECT id, term, o, sign(o - ni * col) * greatest(abs(o - ni * col) - 0.5, 0) / sqrt(ni * col * (1 - ni / n) * (1 - col)) AS score FROM x)
 """
 
+P4_SQL = f"""{P4_PARTS}
+SELECT id AS chunk_id, term FROM z WHERE id IN (SELECT chunk_id FROM chunk_probes) QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, term) = 1
+"""
+
+P4_SCORES_SQL = f"{P4_PARTS} SELECT id AS chunk_id, term, o AS observed, round(score, 4) AS score FROM z"
+
 P6_SQL = f"""
 WITH c AS (SELECT id, max_by(text, ingested_at) AS text FROM chunks GROUP BY id),
 t AS (SELECT id, unnest({TOKENS_SQL.format("text")}) AS term FROM c),
@@ -105,8 +124,8 @@ SELECT q AS query_id, CAST(place AS INT) AS place, hit_id FROM (
 WHERE place <= 3
 """
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found}
-SQL = {"p1_found": P1_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL, "p7_found": P7_SQL}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_scores": p4_scores, "p6_found": p6_found, "p7_found": p7_found}
+SQL = {"p1_found": P1_SQL, "p4_found": P4_SQL, "p4_scores": P4_SCORES_SQL, "p6_found": P6_SQL, "p7_found": P7_SQL}
 for _m in (queries_turns, queries_vectors, queries_sizes, queries_repetition):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from earshot.operators.ranking import PART, Along, carried, placed, running_total
 from earshot.operators.versions import latest
+from earshot.session import cut
 
 UNKNOWN = "unknown"
 #: Clock times with or without brackets, in any place of the text.
@@ -83,75 +83,62 @@ def isotonic(y: np.ndarray) -> np.ndarray:
     return np.repeat(np.array(total) / np.array(size), size)
 
 
-def repair_block(start: np.ndarray, end: np.ndarray, reset_sec: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows in idx order: the clock segment, the repaired start and the repaired end.
+def fit_stretch(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The fitted starts of one stretch of utterances that go backwards, and the first of them."""
+    pdf = pdf.sort_values("idx")
+    start = pdf["start"].to_numpy(dtype=np.float64, na_value=np.nan)
+    known = np.isfinite(start)
+    fit = isotonic(start[known])
+    # a start that is missing takes that of the row before it
+    every = fit[np.clip(np.cumsum(known) - 1, 0, None)]
+    return pd.DataFrame({"file_id": pdf["file_id"].to_numpy(), "idx": pdf["idx"].to_numpy(), "fit": every, "first_fit": fit[0]})
 
-    A start more than ``reset_sec`` before the latest one so far is a clock that began anew: a new segment. Within a
-    segment starts are made non-decreasing; missing ones take their neighbour's. A missing or early end becomes the next start.
-    """
-    segment, top, seg = np.zeros(len(start), np.int64), -np.inf, 0
-    backwards = np.isfinite(start).all() and len(start) and (np.maximum.accumulate(start) - start).max() <= reset_sec
-    if not backwards:
-        for i, v in enumerate(start.tolist()):
-            if v == v:
-                if v < top - reset_sec:
-                    seg, top = seg + 1, v
-                top = max(top, v)
-            segment[i] = seg
-    fixed = np.full(len(start), np.nan)
-    for s in range(seg + 1):
-        at = np.flatnonzero(segment == s)
-        good = at[np.isfinite(start[at])]
-        if len(good):
-            fit = isotonic(start[good])
-            fixed[at] = fit[np.clip(np.searchsorted(good, at, side="right") - 1, 0, None)]
-    after = np.append(fixed[1:], np.nan)
-    after = np.where(np.append(segment[1:], -1) == segment, after, fixed)
-    with np.errstate(invalid="ignore"):
-        ends = np.where(np.isfinite(end) & (end >= fixed), end, np.fmax(after, fixed))
-    return segment, fixed, ends
-
-
-def _repairer(reset_sec: float):
-    def fix(pdf: pd.DataFrame) -> pd.DataFrame:
-        cuts = np.flatnonzero((pdf["file_id"] != pdf["file_id"].shift()) | (pdf["block"] != pdf["block"].shift()))
-        start, end = (pdf[c].to_numpy(dtype=np.float64, na_value=np.nan) for c in ("start_sec", "end_sec"))
-        parts = [repair_block(start[a:b], end[a:b], reset_sec) for a, b in zip(cuts, [*cuts[1:], len(pdf)])]
-        out = [np.concatenate(x) for x in zip(*parts)]
-        return pdf.assign(segment=out[0], fixed_start=out[1], fixed_end=out[2])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None  # the last block may go on in the next batch
-        for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            last = (pdf["file_id"] == pdf["file_id"].iloc[-1]) & (pdf["block"] == pdf["block"].iloc[-1])
-            done, held = pdf[~last].reset_index(drop=True), pdf[last].reset_index(drop=True)
-            if len(done):
-                yield fix(done)
-        if held is not None and len(held):
-            yield fix(held)
-
-    return run
-
-
-def repaired_clock(rows: DataFrame, *, block_rows: int = 1024, reset_sec: float = 60.0) -> DataFrame:
-    """Add segment, fixed_start and fixed_end to rows (file_id, idx, start_sec, end_sec, ...), in blocks of ``block_rows`` idx.
-
-    A block is at most that many rows, so no recording is too long for a task.
-    """
-    rows = rows.withColumn("block", F.floor(F.col("idx") / F.lit(block_rows)).cast("long"))
-    rows = rows.repartition("file_id", "block").sortWithinPartitions("file_id", "block", "idx")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(_repairer(reset_sec), f"{kinds}, segment long, fixed_start double, fixed_end double").drop("block")
 
+def repaired_clock(rows: DataFrame, *, reset_sec: float = 60.0) -> DataFrame:
+    """(file_id, idx, segment, level, fixed_start, fixed_end) for rows (file_id, idx, start_sec, end_sec), one per key.
+
+    A start more than ``reset_sec`` before the one recorded last is a clock that began anew: a new segment. Within a
+    segment the starts are made non-decreasing in the order of idx by isotonic regression.
 
-def labelled_utterances(utterances: DataFrame, speakers: DataFrame, *, with_text: bool = True, salt: int = 8) -> DataFrame:
-    """Each utterance with spoken words once: file_id, idx, at, label, fixed_start, fixed_end (and text).
+    Where every start so far is at or before every start still to come, the regression falls apart: neither side changes
+    the other. Between such clean cuts lie stretches, most of a single row, which keeps its start; only longer ones, those
+    that go backwards, are fitted. So the fit of each stretch is that of the whole segment, and no recording has to fit
+    into a task; a stretch does. ``level`` is the first fitted start of the stretch.
 
-    ``at`` is the recorded start, or the repaired one where none was recorded. The latest row of a key counts; null keys
-    are left out. The table of speakers is repeated ``salt`` times, so that a hot recording is joined by several tasks.
+    A missing (null or NaN) start takes the fitted one before it in its segment, else the next; it is null if the segment
+    has none. A missing end, or one before the start, becomes the next start that is later.
+    """
+    valid = lambda c: F.when(~F.isnan(c) & (F.abs(c) < 1e300), F.col(c).cast("double"))
+    line = rows.select("file_id", "idx", valid("start_sec").alias("start"), valid("end_sec").alias("stop"))
+    line = placed(line, ["file_id"], [F.col("idx").asc()], "clock")
+    line = carried(line, ["file_id"], ["idx"], {"prev": Along("last", F.col("start"), inclusive=False)})
+    reset = F.coalesce((F.col("start") < F.col("prev") - F.lit(reset_sec)).cast("long"), F.lit(0).cast("long"))
+    line = cut(carried(line, ["file_id"], ["idx"], {"segment": Along("sum", reset)}).drop("prev"), "clock-segments")
+    s = F.col("start")
+    line = carried(line, ["file_id", "segment"], ["idx"], {
+        "top": Along("max", s), "top_before": Along("max", s, inclusive=False),
+        "low": Along("min", s, backward=True), "low_after": Along("min", s, inclusive=False, backward=True),
+    })
+    clean = lambda before, after: F.coalesce(F.col(after) >= F.col(before), F.lit(True))
+    line = line.withColumns({"begins": clean("top_before", "low"), "ends": clean("top", "low_after")})
+    line = cut(line.drop(PART, "top_before", "low"), "clock-cuts")
+    messy = line.where("not (begins and ends)").select("file_id", "segment", "idx", "start", F.col("begins").cast("long").alias("b"))
+    messy = running_total(messy, ["file_id"], [F.col("idx").asc()], F.col("b"), "stretch", "clock-stretches")
+    kind = dict(rows.dtypes)["idx"]
+    fitted = messy.select("file_id", "segment", "stretch", "idx", "start").groupBy("file_id", "stretch").applyInPandas(fit_stretch, f"file_id string, idx {kind}, fit double, first_fit double")
+    line = line.join(fitted.hint("merge"), ["file_id", "idx"], "left")
+    start = F.coalesce("fit", "start", "top", "low_after")
+    end = F.when(F.col("stop") >= start, F.col("stop")).otherwise(F.greatest(start, "low_after"))
+    return line.select("file_id", "idx", "segment", F.coalesce("first_fit", start).alias("level"), start.alias("fixed_start"), end.alias("fixed_end"))
+
+
+def labelled_utterances(utterances: DataFrame, speakers: DataFrame, *, salt: int = 8) -> DataFrame:
+    """Each utterance with spoken words once: file_id, idx, segment, level, at, label, fixed_start, fixed_end and text.
+
+    Utterances follow each other by (segment, level, at, idx): the repaired clock puts segments and stretches in order, and
+    within a stretch that goes backwards the recorded start ``at`` decides (the repaired one where none was recorded). As
+    stretches don't overlap, that is the order of recorded starts within each segment. The latest row of a key counts;
+    null keys are left out. The table of speakers is repeated ``salt`` times, so that a hot recording is joined by several tasks.
     """
     rows = utterances.where("file_id is not null and idx is not null").select("file_id", "idx", "speaker", "start_sec", "end_sec", "ingested_at", without_sounds(F.col("text"), F.col("words")).alias("said"))
     head = F.regexp_extract("said", MARK, 0)
@@ -159,13 +146,11 @@ def labelled_utterances(utterances: DataFrame, speakers: DataFrame, *, with_text
     rows = rows.withColumn("head", head).withColumn("mark", mark).withColumn("key", name_key(F.col("speaker")))
     rest = spoken(F.expr("substring(said, length(head) + 1)"))
     keep = spoken(F.col("said"))
-    text = [rest.alias("rest"), keep.alias("keep")]
     sure = F.coalesce(F.col("mark").rlike(PLAIN_MARK) | F.col("mark").startswith("#") | F.col("head").contains(">>") | F.col("head").contains("["), F.lit(False))
-    rows = rows.select("file_id", "idx", "start_sec", "end_sec", "ingested_at", "key", "mark", sure.alias("sure"), *text)
-    if not with_text:
-        rows = rows.withColumns({"rest": F.when(F.col("rest") != "", "x").otherwise(""), "keep": F.when(F.col("keep") != "", "x").otherwise("")})
-    rows = latest(rows, ["file_id", "idx"], "ingested_at", ["start_sec", "end_sec", "key", "mark", "sure", "rest", "keep"])
-    rows = repaired_clock(rows)
+    rows = rows.select("file_id", "idx", "start_sec", "end_sec", "ingested_at", "key", "mark", sure.alias("sure"), rest.alias("rest"), keep.alias("keep"))
+    rows = cut(latest(rows, ["file_id", "idx"], "ingested_at", ["start_sec", "end_sec", "key", "mark", "sure", "rest", "keep"]), "utterances")
+    clock = repaired_clock(rows.select("file_id", "idx", "start_sec", "end_sec"))
+    rows = rows.select("file_id", "idx", "start_sec", "key", "mark", "sure", "rest", "keep").join(clock.hint("merge"), ["file_id", "idx"])
 
     keys = speaker_keys(speakers).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     # the planner can't see that the keys are many times the table of speakers, and would broadcast them
@@ -178,22 +163,25 @@ def labelled_utterances(utterances: DataFrame, speakers: DataFrame, *, with_text
     text = F.when(F.col("sure") | F.col("marked").isNotNull(), F.col("rest")).otherwise(F.col("keep"))
     rows = rows.withColumn("text", text).where("text <> ''")
     rows = rows.withColumn("label", F.coalesce("told", "marked", F.lit(UNKNOWN)))
-    at = F.coalesce(F.when(~F.isnan("start_sec"), F.col("start_sec")), F.when(~F.isnan("fixed_start"), F.col("fixed_start")), F.lit(0.0))
-    return rows.select("file_id", "idx", at.alias("at"), "label", "fixed_start", "fixed_end", *(["text"] if with_text else []))
+    at = F.coalesce(F.when(~F.isnan("start_sec"), F.col("start_sec")), "fixed_start", F.lit(0.0))
+    return rows.select("file_id", "idx", "segment", F.coalesce("level", F.lit(0.0)).alias("level"), at.alias("at"), "label", "fixed_start", "fixed_end", "text")
+
+
+ORDER = ["segment", "level", "at", "idx"]
 
 
 def with_turns(rows: DataFrame, *, shard_sec: float = 600.0) -> DataFrame:
-    """Add ``turn``, the number of the turn in its recording, to labelled utterances (file_id, idx, at, label, ...).
+    """Add ``turn``, the number of the turn in its recording, to labelled utterances (file_id, label, and ORDER).
 
-    A turn is a longest run of one label in the order of at, then idx. Changes of speaker are counted within shards of
+    A turn is a longest run of one label in that order. Changes of speaker are counted within shards of
     time; one row per shard carries the count and the last label on to the next, so a recording is worked on by as many
     tasks as it has shards.
     """
-    rows = rows.withColumn("shard", F.floor(F.col("at") / F.lit(shard_sec)).cast("long"))
-    order = Window.partitionBy("file_id", "shard").orderBy("at", "idx")
+    rows = rows.withColumn("shard", F.struct("segment", F.floor(F.col("level") / F.lit(shard_sec)).cast("long").alias("n")))
+    order = Window.partitionBy("file_id", "shard").orderBy(*ORDER)
     changed = F.coalesce((F.col("label") != F.lag("label").over(order)).cast("int"), F.lit(0))
     rows = rows.withColumn("changed", changed)
-    place = F.struct("at", "idx")
+    place = F.struct(*ORDER)
     shards = rows.groupBy("file_id", "shard").agg(
         F.min_by("label", place).alias("first_label"), F.max_by("label", place).alias("last_label"), F.sum("changed").alias("inner")
     )
@@ -207,7 +195,7 @@ def with_turns(rows: DataFrame, *, shard_sec: float = 600.0) -> DataFrame:
 
 def speaker_turns(rows: DataFrame) -> DataFrame:
     """One row per turn of the rows of ``with_turns``: its first and last utterance, label, repaired times and size."""
-    place = F.struct("at", "idx")
+    place = F.struct(*ORDER)
     return rows.groupBy("file_id", "turn").agg(
         F.min_by("idx", place).alias("first_idx"),
         F.max_by("idx", place).alias("last_idx"),
@@ -220,6 +208,7 @@ def speaker_turns(rows: DataFrame) -> DataFrame:
 
 def turn_texts(rows: DataFrame) -> DataFrame:
     """The cleaned words of each turn, in one row per turn and shard of time, so that no turn is too long for a row."""
-    said = F.array_sort(F.collect_list(F.struct("at", "idx", "text")))
+    said = F.array_sort(F.collect_list(F.struct(*ORDER, "text")))
     parts = rows.groupBy("file_id", "turn", "label", "shard").agg(said.alias("s"))
-    return parts.select("file_id", "turn", F.col("shard").alias("part"), "label", F.array_join(F.transform("s", lambda x: x["text"]), " ").alias("text"))
+    part = F.row_number().over(Window.partitionBy("file_id", "turn").orderBy("shard")) - 1
+    return parts.select("file_id", "turn", part.alias("part"), "label", F.array_join(F.transform("s", lambda x: x["text"]), " ").alias("text"))

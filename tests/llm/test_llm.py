@@ -119,11 +119,58 @@ def test_isotonic_is_the_best_fit(ys):
     assert np.allclose(fit, best)
 
 
-def test_clock_resets_and_missing_times():
-    nan = float("nan")
-    seg, start, end = turns.repair_block(np.array([1.0, 3.0, 2.0, nan, 900.0, 5.0, 6.0]), np.array([2.0, nan, 1.0, nan, 901.0, 6.0, 7.0]), 60.0)
-    assert seg.tolist() == [0, 0, 0, 0, 0, 1, 1] and start.tolist() == [1.0, 2.5, 2.5, 2.5, 900.0, 5.0, 6.0]
-    assert (end >= start).all()
+def brute_clock(rows, reset):
+    """Segments by drops, isotonic fit of each whole segment; (segment, fixed start) by idx."""
+    seg, last, out, by = 0, None, {}, defaultdict(list)
+    for i, v in sorted(rows):
+        if v is not None and last is not None and v < last - reset:
+            seg += 1
+        last = v if v is not None else last
+        by[seg].append((i, v))
+    for g, mine in by.items():
+        fit = iter(turns.isotonic(np.array([v for _, v in mine if v is not None], float)).tolist())
+        near = None
+        for i, v in mine:
+            near = next(fit) if v is not None else near
+            out[i] = (g, near)
+    return out
+
+
+@pytest.mark.parametrize("seed,parts", [(1, 1), (2, 3), (3, 9), (4, 40)])
+def test_repaired_clock_equals_the_fit_of_whole_segments(spark, seed, parts):
+    rng = random.Random(seed)
+    data, at = [], 0.0
+    for i in range(400):
+        at += rng.choice([0.5, 1.0, 3.0])
+        if rng.random() < 0.02:
+            at = max(0.0, at - 200)
+        v = round(at + (rng.choice([-8.0, -3.0, 5.0]) if rng.random() < 0.15 else 0), 2)
+        data.append(("f", 3 * i, None if rng.random() < 0.05 and i else v, rng.choice([None, v + 1, v - 1, float("nan")]), "x"))
+    data += [("g", 0, None, None, "x"), ("h", 0, float("nan"), 2.0, "x"), ("h", 1, 1.0, 0.0, "x")]
+    df = spark.createDataFrame(data, "file_id string, idx int, start_sec double, end_sec double, level string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {(r.file_id, r.idx): r for r in turns.repaired_clock(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = brute_clock([(i, v) for f, i, v, *_ in data if f == "f"], 60.0)
+    assert len(got) == len(data) and len({g for g, _ in want.values()}) > 1
+    for i, (seg, fixed) in want.items():
+        r = got["f", i]
+        assert r.segment == seg and r.fixed_end >= r.fixed_start
+        if dict((j, v) for _, j, v, *_ in data)[i] is not None:
+            assert r.fixed_start == pytest.approx(fixed)
+    assert got["g", 0].fixed_start is None and got["h", 0].fixed_start == 1.0 and got["h", 1].fixed_end == 1.0
+    assert turns.repaired_clock(df.limit(0)).count() == 0
+
+
+def test_turns_follow_the_repaired_clock(spark):
+    """Within a segment by recorded start; a clock that begins anew comes after what was said before."""
+    us = [utt(0, "S0", "One.", at=100), utt(1, "S1", "Three.", at=108), utt(2, "S0", "Two.", at=104), utt(3, "S1", "Four.", at=3), utt(4, "S0", "Five.", at=5)]
+    rows = labelled(spark, us, PEOPLE)
+    got = [(r.first_idx, r.last_idx, r.label) for r in turns.speaker_turns(rows).orderBy("turn").collect()]
+    assert got == [(0, 2, "SPEAKER_00"), (1, 3, "SPEAKER_01"), (4, 4, "SPEAKER_00")]
 
 
 # terms
@@ -146,8 +193,12 @@ def brute_terms(texts):
 
 def test_changes_and_removals_keep_the_counts_right(spark):
     feed = [("a", "Don't stop, don’t!", 1, "x"), ("a", "don't go", 2, "x"), ("b", "go go go", 1, "x"), ("b", "go go go", 5, "x"), ("c", None, 1, "x"), ("d", "", 1, "x"), (None, "lost", 1, "x"), ("e", "now here", None, "x"), ("e", None, 3, "x")]
-    state = terms.term_counts(spark, spark.createDataFrame(feed, FEED), "id", "text", "v")
-    assert counted(state) == brute_terms(["don't go", "go go go"])
+    df = spark.createDataFrame(feed, FEED)
+    for batch, n in ((F.lit(0), 1), (F.when(F.col("v") > 1, 1), 2), (F.col("v") - 1, 5)):
+        state = terms.term_counts(spark, df, "id", "text", "v", batch=batch, batches=n)
+        assert counted(state) == brute_terms(["don't go", "go go go"])
+    signed = sorted((r.batch, r.text, r.sign) for r in terms.record_changes(df, "id", "text", "v", F.when(F.col("v") > 1, 1), 2).where("text is not null").collect())
+    assert [x for x in signed if x[2] < 0] == [(1, "Don't stop, don’t!", -1), (1, "go go go", -1), (1, "now here", -1)]
     keep = terms.TermCounts(spark)
     add = lambda rows: keep.merge(terms.term_changes(spark.createDataFrame(rows, "text string, sign int")))
     add([("one two", 1), ("two", 1), (None, 1), ("", 1)])
@@ -157,6 +208,29 @@ def test_changes_and_removals_keep_the_counts_right(spark):
     assert terms.marked_terms(terms.term_counts(spark, spark.createDataFrame([], FEED), "id", "text", "v")).count() == 0
 
 
+def test_counts_outlive_their_object(spark, tmp_path):
+    """A state is closed and opened again, a batch merged twice counts once, and only the parts touched are replaced."""
+    folder = f"file://{tmp_path}/counts"
+    change = lambda rows: terms.term_changes(spark.createDataFrame(rows, "text string, sign int"))
+    rng = random.Random(4)
+    texts, live = [" ".join(f"w{rng.randrange(60)}" for _ in range(8)) for _ in range(40)], Counter()
+    for i in range(6):
+        old = [t for t in live if live[t] > 0 and rng.random() < 0.4]
+        new = rng.sample(texts, 6)
+        terms.TermCounts(spark, folder, buckets=5).merge(change([(t, -1) for t in old] + [(t, 1) for t in new]), f"b{i}")
+        live.update(new)
+        live.subtract(old)
+    again = terms.TermCounts(spark, folder, buckets=99)
+    want = brute_terms(live.elements())
+    assert again.buckets == 5 and counted(again.read()) == want
+    before = again._state()
+    assert counted(again.merge(change([("w1 w2", 1)]), "b3")) == want and again._state() == before
+    again.merge(change([("single", 1)]), "one term")
+    changed = {b for b, p in again._state()["parts"].items() if before["parts"].get(b) != p}
+    assert 1 <= len(changed) <= 2  # the part of the term and the part that counts the records
+    assert again.vacuum() > 0 and counted(terms.TermCounts(spark, folder).read()) == {**want, "single": (1, 1)}
+
+
 def test_a_rare_returning_word_leads(spark):
     texts = [f"the cat and the dog number{i} went zzyzx{'' if i else ' zzyzx zzyzx'}" for i in range(6)] + ["the mispelt word and the cat", None, ""]
     df = spark.createDataFrame([(str(i), x, "t", 1.0) for i, x in enumerate(texts)], "id string, text string, term string, score double")
@@ -397,10 +471,35 @@ def test_repetition_of_odd_texts(spark):
     say = " ".join(f"w{i}" for i in range(60))
     docs = [(1, say, "en", 0.1), (2, " ".join(["so much noise again please"] * 50), "en", 0.1), (3, None, "en", 0.1), (4, "   ", None, 0.1), (5, "ab_c ÄÖ ab_c ÄÖ", None, 0.1), (6, say + " " + say, "xx", 0.1), (7, "x " * 200_000, "en", 0.1), (2, " ".join(["so much noise again please"] * 50), "en", 0.1)]
     got = {r.doc: r for r in repetition.repetition(spark.createDataFrame(docs, "doc long, text string, lang string, share double"), "doc", "text", "lang").collect()}
-    assert got[2].share == got[6].share == got[7].share == 1.0 and got[3].share == got[4].share == got[5].share == 0.0 and not got[1].share
+    assert got[2].share == got[6].share == got[7].share == 1.0 and got[3].share == got[4].share == got[5].share == got[1].share == 0.0
     assert repetition.repetition(spark.createDataFrame([], "doc long, text string, lang string"), "doc", "text", "lang").count() == 0
 
 
+def test_texts_that_repeat_themselves_stray_from_their_language(spark):
+    """Every share is given and exact; the divergence alone drops most honest texts and none that repeats itself much."""
+    rng = np.random.default_rng(8)
+    tongue = {lang: ([f"{lang}{i}" for i in range(3000)], 1 / np.arange(1, 3001) ** 0.9) for lang in ("en", "de")}
+    docs = []
+    for i in range(700):
+        lang = "en" if i % 3 else "de"
+        vocabulary, weight = tongue[lang]
+        w = rng.choice(vocabulary, rng.integers(60, 300), p=weight / weight.sum()).tolist()
+        if i % 10 == 0:
+            part = w[: len(w) // 4]
+            w = part * int(rng.integers(4, 7)) + w[len(part) :]
+        docs.append((i, " ".join(w), lang))
+    docs += [(1000, docs[10][1], "xx"), (1001, docs[10][1], None), (1002, "a b c d e " * 4, "en"), (1003, "only text of its kind", "yy")]
+    df = spark.createDataFrame(docs, "doc long, text string, lang string")
+    got = {r.doc: r for r in repetition.repetition(df, "doc", "text", "lang").collect()}
+    want = {i: brute_share(t.split()) for i, t, _ in docs}
+    assert all(got[i].share == pytest.approx(want[i]) for i in want)
+    assert {i for i in want if want[i] >= 0.4} <= {i for i in got if got[i].suspect}
+    honest = [i for i in range(700) if want[i] < 0.4]
+    assert sum(not got[i].suspect for i in honest) > 0.6 * len(honest)
+    some = {r.doc: r.share for r in repetition.repetition(df, "doc", "text", "lang", only_suspects=True).collect()}
+    assert some == {i: r.share for i, r in got.items() if r.suspect}
+
+
 def test_divergence():
     a, b = np.array([1.0, 0.0]), np.array([0.0, 3.0])
     assert repetition.divergence(a, b) == pytest.approx(1.0) and repetition.divergence(a, a) == 0.0
