@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.operators.ranking import running_total
@@ -145,13 +145,14 @@ def mix(
     middle = F.col("upto") - F.col("n") / 2
     used = line.join(cuts, "pattern").where((middle >= F.col("lo")) & (middle < F.col("hi")))
     used = used.groupBy("print", "source").agg(F.count(F.lit(1)).alias("times"))
-    one = Window.partitionBy("print", "source").orderBy("doc_id")
-    first = rows.where("bit > 0").withColumn("r", F.row_number().over(one)).where("r = 1").select("doc_id", "print", "source", "n_tokens")
-    chosen = cut(first.join(used, ["print", "source"]).select("doc_id", "source", "n_tokens", "times"), "mix-chosen")
+    # a text copied a million times is one row per task before it travels
+    first = rows.where("bit > 0").groupBy("print", "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"))
+    # both grow with the texts, which the planner can't see from the size of their files
+    chosen = cut(first.join(used.hint("merge"), ["print", "source"]).select("doc_id", "source", "n_tokens", "times"), "mix-chosen")
     sums = chosen.groupBy("source").agg(F.sum(F.col("times") * F.col("n_tokens")).alias("n")).collect()  # one row per source
     every = sum(r.n for r in sums)
     reached = {r.source: r.n / every for r in sums}
     report = spark.createDataFrame([(n, shares[n], reached.get(n, 0.0)) for n in names], "source string, target_share double, share double")
-    out = rows.select("doc_id", "source", "n_tokens").join(chosen.select("doc_id", "source", "times"), ["doc_id", "source"], "left")
+    out = rows.select("doc_id", "source", "n_tokens").join(chosen.select("doc_id", "source", "times").hint("merge"), ["doc_id", "source"], "left")
     out = out.join(F.broadcast(report), "source", "left")
     return out.select("doc_id", "source", "n_tokens", F.coalesce("times", F.lit(0)).alias("times"), "target_share", "share")

@@ -17,8 +17,6 @@ from earshot.session import cut
 WORD = re.compile(r"\w+")
 #: Character classes: lower case, upper case, other letters, digits, blanks, the rest.
 N_CLASSES = 6
-#: Names the number of texts among the counts.
-TEXTS = " texts"
 RUN = 5
 
 
@@ -73,70 +71,73 @@ def _counter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     table = _classes()
     for pdf in batches:
         words: dict[str, Counter] = defaultdict(Counter)
-        texts: dict[str, int] = Counter()
         chars: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(N_CLASSES))
         for lang, text in zip(pdf["lang"], pdf["text"]):
             words[lang].update(WORD.findall(text.lower()))
             chars[lang] += class_counts(text, table)
-            texts[lang] += 1
         rows = [(lang, w, n) for lang, c in words.items() for w, n in c.items()]
-        rows += [(lang, TEXTS, n) for lang, n in texts.items()]
         rows += [(lang, f" {i}", int(n)) for lang, c in chars.items() for i, n in enumerate(c)]
         yield pd.DataFrame(rows, columns=["lang", "term", "n"])
 
 
-def language_references(texts: DataFrame, *, common_words: int = 300, least_texts: int = 200) -> dict:
-    """{language: ({word: place}, word histogram, class histogram)} over all texts (lang, text); '' is of all languages.
+def language_references(texts: DataFrame, *, common_words: int = 60, least_share: float = 0.001) -> dict:
+    """{language: ({word: place}, word histogram, class histogram)} over all texts (lang, text).
 
     Equal texts count once, however often they were copied. Counting covers every text; each task adds up its own words
-    before the shuffle. A language is held to be known from ``least_texts`` distinct texts on. What comes to the driver is
-    ``common_words`` words of each known language: bounded, as languages are few next to texts (at most 1000 are taken,
-    the largest).
+    before the shuffle. Languages that hold at least ``least_share`` of all words have a reference: there can't be more
+    than 1 / least_share of them, so what comes to the driver (``common_words`` words of each) is bounded.
     """
     once = texts.groupBy("lang", F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.first("text").alias("text"))
     counts = once.select("lang", "text").mapInPandas(_counter, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
     counts = cut(counts, "language-counts")
     special = F.col("term").startswith(" ")
-    known = counts.where((F.col("term") == TEXTS) & (F.col("n") >= least_texts)).orderBy(F.col("n").desc(), "lang").limit(1000)
-    pooled = counts.groupBy("term").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "term", "n")
-    every = counts.where("lang <> ''").join(F.broadcast(known.select("lang")), "lang").select("lang", "term", "n").unionByName(pooled)
+    sums = counts.where(~special).groupBy("lang").agg(F.sum("n").alias("n"))
+    total = sums.agg(F.sum("n").alias("all"))
+    known = F.broadcast(sums.crossJoin(F.broadcast(total)).where(F.col("n") >= F.col("all") * least_share).select("lang", F.col("n").alias("words")))
+    every = counts.where("lang <> ''").join(known, "lang")
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "term")
     top = every.where(~special).withColumn("r", F.row_number().over(order)).where(F.col("r") <= common_words).drop("r")
-    sums = every.where(~special).groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(None).cast("string").alias("term"), "n")
     by: dict = defaultdict(list)
-    for r in top.unionByName(every.where(special)).unionByName(sums).collect():
-        by[r.lang].append((r.term, r.n))
+    for r in top.unionByName(every.where(special)).collect():
+        by[r.lang].append((r.term, r.n, r.words))
     out: dict = {}
     for lang, mine in by.items():
-        common = sorted(((n, w) for w, n in mine if w is not None and w[0] != " "), key=lambda x: (-x[0], x[1]))
-        total = sum(n for w, n in mine if w is None)
-        hist = np.array([n for n, _ in common] + [total - sum(n for n, _ in common)], np.float64)
+        common = sorted(((n, w) for w, n, _ in mine if w[0] != " "), key=lambda x: (-x[0], x[1]))
+        hist = np.array([n for n, _ in common] + [mine[0][2] - sum(n for n, _ in common)], np.float64)
         chars = np.zeros(N_CLASSES)
-        for w, n in mine:
-            if w is not None and w[0] == " " and w != TEXTS:
+        for w, n, _ in mine:
+            if w[0] == " ":
                 chars[int(w)] = n
-        out[lang] = ({w: i for i, (_, w) in enumerate(common)}, hist, chars)
+        out[lang] = ([w for _, w in common], hist, chars)
     return out
 
 
-def _measurer(references: dict, min_words: int, screen: float, power: float, char_screen: float):
+def _strays(words: list[str], text: str, reference, table: np.ndarray) -> tuple[float, float] | None:
+    """The distances of a text from the other texts of its language: by common words and by character classes."""
+    common, hist, chars = reference
+    count = Counter(words)
+    mine = np.array([count[w] for w in common] + [0], np.float64)
+    mine[-1] = len(words) - mine.sum()
+    classes = class_counts(text, table)
+    others, other_classes = np.maximum(hist - mine, 0), np.maximum(chars - classes, 0)
+    if not others.sum() or not other_classes.sum():
+        return None
+    return divergence(mine, others), divergence(classes, other_classes)
+
+
+def _measurer(references: dict, min_words: int, screen: float, power: float, char_screen: float, only_suspects: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = _classes()
         for pdf in batches:
             rows = []
             for key, lang, text in zip(pdf["k"], pdf["lang"], pdf["text"]):
                 words = WORD.findall(text.lower())
-                n = len(words)
-                by_word = by_class = None
-                suspect = True
-                if n >= min_words:  # histograms of shorter texts say nothing: they go to the exact measure
-                    known = lang in references and lang != ""
-                    common, hist, chars = references[lang if known else ""]
-                    place, rest = common.get, len(common)
-                    mine = np.bincount([place(w, rest) for w in words], minlength=rest + 1).astype(np.float64)
-                    by_word, by_class = divergence(mine, hist), divergence(class_counts(text, table), chars)
-                    suspect = not known or by_word >= screen * n**-power or by_class >= char_screen
-                rows.append((key, n, by_word, by_class, suspect, repeated_share(words) if suspect else None))
+                n, far = len(words), None
+                if n >= min_words and lang in references:  # histograms of shorter texts say nothing
+                    far = _strays(words, text, references[lang], table)
+                suspect = far is None or far[0] >= screen * n**-power or far[1] >= char_screen
+                if suspect or not only_suspects:
+                    rows.append((key, n, *(far or (None, None)), suspect, repeated_share(words)))
             yield pd.DataFrame(rows, columns=["k", "n_words", "word_distance", "class_distance", "suspect", "share"])
 
     return run
@@ -148,29 +149,29 @@ def repetition(
     text: str,
     lang: str,
     *,
+    only_suspects: bool = False,
     min_words: int = 30,
-    screen: float = 2.2,
+    screen: float = 1.9,
     power: float = 0.375,
     char_screen: float = 0.15,
 ) -> DataFrame:
-    """(key, n_words, word_distance, class_distance, suspect, share) of every text.
+    """(key, n_words, word_distance, class_distance, suspect, share) of every text, or of suspects only.
 
-    A text that repeats itself strays from its language: its histogram of common words, and of character classes, is held
-    against that of all texts of the language by the Jensen-Shannon distance. The word distance of honest texts falls with
-    their length n; a text is suspect from ``screen * n ** -power`` on (or from ``char_screen`` for classes). Texts under
-    ``min_words`` words are too short for histograms and always suspect, and so are texts of no language or of one with too
-    few texts for a reference: those are held against all texts, for the record. The exact share of words in repeated runs is
-    measured for suspects; for the others it is null: they may repeat a little, not much.
+    A text that repeats itself strays from its language: its histograms of common words and of character classes are held
+    against those of all other texts of the language by the Jensen-Shannon distance. The word distance of honest texts
+    falls with their length n; a text is suspect from ``screen * n ** -power`` on (or from ``char_screen`` for classes).
+    Texts under ``min_words`` words are too short for histograms, and texts of no language or of one too small for a
+    reference have none to stray from: they have no distances and are suspect. ``share`` is the exact share of words in
+    repeated runs.
 
     Null or blank text: no words, distances null, share 0. Each text
     is worked on alone, however long; repeated rows give repeated results. An empty table gives an empty result.
     """
     rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     references = language_references(rows.where("text <> ''").select("lang", "text"))
-    references.setdefault("", ({}, np.ones(1), np.ones(N_CLASSES)))
     kind = df.schema[key].dataType.simpleString()
     measured = rows.mapInPandas(
-        _measurer(references, min_words, screen, power, char_screen),
+        _measurer(references, min_words, screen, power, char_screen, only_suspects),
         f"k {kind}, n_words long, word_distance double, class_distance double, suspect boolean, share double",
     )
     return measured.withColumnRenamed("k", key)
