@@ -22,6 +22,7 @@ def encoder_input(text: Column, *, is_query: bool) -> Column:
     return F.concat(F.lit(QUERY_PREFIX), text) if is_query else text
 
 
+#: Fixed format: how a query names the role of the speaker.
 ROLE = r"(?i)\brole:(host|guest)\b"
 
 

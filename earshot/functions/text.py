@@ -30,6 +30,16 @@ actually
 """.split()
 
 
+#: The English stop words of full-text search, whose places in a text still count. As tokens, without apostrophes.
+SEARCH_STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself
+they them their theirs themselves what which who whom this that these those am is are was were be been being have has had
+having do does did doing a an the and but if or because as until while of at by for with about against between into through
+during before after above below to from up down in out on off over under again further then once here there when where why how
+all any both each few more most other some such no nor not only own same so than too very s t can will just don should now
+""".split()
+
+
 def content_tokens(toks: Column) -> Column:
     """Of an array of tokens, those of at least 3 characters that are neither stop words nor bare numbers."""
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
@@ -85,6 +95,7 @@ def file_slug(name: Column) -> Column:
 
 def label_reference(ref: Column) -> Column:
     """Struct (file, a, b, grade) of 'file:a-b@grade'; b defaults to a, grade to 2. Null if it has another form."""
+    # fixed format
     form = r"^([a-z0-9_]+):(\d+)(?:-(\d+))?(?:@([12]))?$"
     part = lambda i: F.regexp_extract(F.trim(ref), form, i)
     number = lambda c: F.when(c != "", c).cast("int")

@@ -21,9 +21,23 @@ def affinity(x: np.ndarray, prune: float = 0.3) -> np.ndarray:
     return graph
 
 
-def cut_vector(x: np.ndarray, prune: float = 0.3, width: int = 8, entries: int = 8_000_000) -> np.ndarray:
-    """The second eigenvector of the graph of ``affinity``, scaled back, without the graph: it is made anew, ``entries``
-    at a time, whenever it is multiplied with a block of ``width`` vectors (block Lanczos until the vector holds)."""
+def two_sides(basis: np.ndarray) -> np.ndarray:
+    """Which of two groups each row of an n x 2 basis of the leading eigenvectors belongs to.
+
+    The rows of a group point one way, whatever basis of the plane was found (with two parts that nothing joins, both
+    eigenvalues are equal and any basis may come out). The row farthest out and the row farthest from its line are taken
+    as the two directions, as in a QR decomposition with pivoting; made orthogonal, they are the axes the rows are held against.
+    """
+    size = (basis**2).sum(1)
+    a = basis[size.argmax()]
+    off = size - (basis @ a) ** 2 / max(a @ a, 1e-300)
+    u, _, v = np.linalg.svd(np.stack([a, basis[off.argmax()]], 1))
+    return np.abs(basis @ (u @ v)).argmax(1)
+
+
+def leading_vectors(x: np.ndarray, prune: float = 0.3, width: int = 8, entries: int = 8_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """The two leading eigenvectors of the graph of ``affinity`` and the roots of its inverse degrees, without the graph: it is
+    made anew, ``entries`` at a time, whenever it is multiplied with a block of ``width`` vectors (block Lanczos until the vector holds)."""
     n = len(x)
     keep = min(n, max(2, math.ceil(prune * n)))
     x = x.astype(np.float32)
@@ -59,7 +73,7 @@ def cut_vector(x: np.ndarray, prune: float = 0.3, width: int = 8, entries: int =
         off = np.linalg.norm(image - first[:, 0] * (first[:, 0] @ image) - values[-1] * found)
         gap = values[-1] - values[-2] if len(values) > 1 else 1.0
         if off <= max(1e-3 * gap, 1e-6) or q.shape[1] + width > n - 1:
-            return found * root[:, 0]
+            return np.stack([first[:, 0], found], 1), root[:, 0]
         block = w[:, -width:]
 
 
@@ -72,16 +86,15 @@ def two_voices(emb: np.ndarray, prune: float = 0.3, rounds: int = 5, most: int =
     x = emb / np.maximum(norm, 1e-8)
     # an all-zero vector has no neighbours and would be a part of the graph by itself
     known = np.flatnonzero(norm[:, 0] > 0)
-    # the second largest eigenvector, scaled back, has one sign on either side of the cut
-    if len(known) > max(most, 1):
-        second = cut_vector(x[known], prune)
-    else:
-        graph = affinity(x[known], prune) if len(known) > 1 else np.ones((1, 1))
-        root = 1 / np.sqrt(graph.sum(1))
-        _, vectors = np.linalg.eigh(root[:, None] * graph * root[None, :])
-        second = vectors[:, -2] * root if len(known) > 1 else np.zeros(len(known))
     labels = np.zeros(len(x), int)
-    labels[known] = second > 0
+    if len(known) > max(most, 2):
+        basis, root = leading_vectors(x[known], prune)
+        labels[known] = two_sides(basis * root[:, None])
+    elif len(known) > 1:
+        graph = affinity(x[known], prune)
+        root = 1 / np.sqrt(graph.sum(1))
+        vectors = np.linalg.eigh(root[:, None] * graph * root[None, :])[1]
+        labels[known] = two_sides(vectors[:, -2:] * root[:, None])
     for _ in range(rounds):
         mean = [x[labels == k].mean(0) if (labels == k).any() else np.zeros(x.shape[1]) for k in (0, 1)]
         centres = np.stack([m / max(np.linalg.norm(m), 1e-8) for m in mean])

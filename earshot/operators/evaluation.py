@@ -31,6 +31,11 @@ def covering_hits(hits: DataFrame, labels: DataFrame, *, tolerance: float = 5.0)
     return hits.alias("h").join(labels.alias("l"), near).select("l.query_id", "n", "hit_id", "rank")
 
 
+def of_split(queries: DataFrame, split: str = "all") -> DataFrame:
+    """The labelled queries of one split, or all of them."""
+    return queries if split == "all" else queries.where(F.col("split") == split)
+
+
 def scores(queries: DataFrame, hits: DataFrame, *, tolerance: float = 5.0, cuts: tuple[int, ...] = CUTS) -> DataFrame:
     """One row for all queries (category 'ALL') and one per category: counters and ratios, null where nothing is to divide.
 

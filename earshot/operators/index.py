@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earshot.functions.text import content_tokens, tokens
+from earshot.session import cut
 
 
 def postings(passages: DataFrame, terms=tokens) -> DataFrame:
@@ -16,6 +17,20 @@ def postings(passages: DataFrame, terms=tokens) -> DataFrame:
     return passages.select("id", F.explode(terms(F.col("text"))).alias("lexeme")).groupBy("id", "lexeme").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def positional_postings(passages: DataFrame, stop: list[str], stems) -> tuple[DataFrame, DataFrame]:
+    """(id, lexeme, tf, places) and (lexeme, stem): the stems of each passage with their places, and the stem of every word.
+
+    Words of ``stop`` are left out but keep their places, so a phrase knows how far apart its words are. ``stems`` turns a
+    column of words into stems; it sees every distinct word once.
+    """
+    words = passages.select("id", F.posexplode(tokens(F.col("text"))).alias("at", "lexeme")).where(~F.col("lexeme").isin(stop))
+    words = cut(words.groupBy("id", "lexeme").agg(F.collect_list("at").alias("places")), "passage-words")
+    table = words.select("lexeme").distinct()
+    table = cut(table.select("lexeme", stems(F.col("lexeme")).alias("stem")), "stems")
+    post = words.join(table, "lexeme").groupBy("id", F.col("stem").alias("lexeme")).agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+    return post.select("id", "lexeme", F.size("places").cast("long").alias("tf"), "places"), table
+
+
 def doc_lengths(passages: DataFrame, post: DataFrame) -> DataFrame:
     """(id, doc_len): the number of lexemes of each passage, 0 for one without any."""
     sums = post.groupBy("id").agg(F.sum("tf").alias("n"))

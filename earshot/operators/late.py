@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earshot.operators.search import best
+from earshot.functions.queries import QUERY_PREFIX
+from earshot.functions.text import tokens
 
 
 def maxsim(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -61,40 +63,57 @@ def unpack_half(data: Column, width: int) -> Column:
     return run(data)
 
 
-def hashed(features: list[str], dim: int) -> np.ndarray:
-    v = np.zeros(dim, np.float32)
-    for f in features:
-        v[zlib.crc32(f.encode()) % dim] += 1
-    norm = np.linalg.norm(v)
-    return v / norm if norm else v
+def signed_features(features: list[str], dim: int, seed: int = 17) -> np.ndarray:
+    """A unit vector of hashed features: each adds to two places, with signs drawn from its hash. All zero without features."""
+    drawn = np.array([xxhash.xxh3_64_intdigest(f, seed) for f in features], np.uint64)
+    out = np.zeros(dim)
+    for shift in (np.uint64(0), np.uint64(32)):
+        part = drawn >> shift
+        np.add.at(out, (part & np.uint64(0x7FFFFFFF)) % np.uint64(dim), np.where(part >> np.uint64(31) & np.uint64(1), 1.0, -1.0))
+    size = np.linalg.norm(out)
+    return (out / size if size else out).astype(np.float32)
 
 
-def word_vectors(tokens: Column, dim: int = 768) -> Column:
-    """A stand-in for a sentence encoder: the normalised counts of hashed words. Any iterator of batches could take its place."""
+def _plain(text: Column) -> Column:
+    """The tokens of a text without the instruction that queries carry."""
+    return tokens(F.replace(text, F.lit(QUERY_PREFIX), F.lit("")))
+
+
+def word_vectors(text: Column, dim: int = 768) -> Column:
+    """A stand-in for a sentence encoder: the words of a text as hashed features."""
 
     @F.pandas_udf("array<float>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else hashed(list(t), dim))
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(lambda t: None if t is None else signed_features(list(t), dim))
 
-    return run(tokens)
+    return run(_plain(text))
 
 
-def token_vectors(tokens: Column, dim: int = 256) -> Column:
-    """A stand-in for a token encoder: each word by its hashed groups of three characters."""
+def token_vectors(text: Column, dim: int = 256) -> Column:
+    """A stand-in for a token encoder: each word by its beginnings and endings."""
 
     @F.pandas_udf("array<array<float>>")
-    def run(s: pd.Series) -> pd.Series:
-        one = lambda w: hashed([w[i : i + 3] for i in range(max(1, len(w) - 2))], dim)
-        return s.map(lambda t: None if t is None else [one(w) for w in t])
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, np.ndarray] = {}  # words return; the table starts anew when it is full
+        def one(w):
+            if w not in known:
+                if len(known) > 50_000:
+                    known.clear()
+                n = range(1, min(len(w), 6) + 1)
+                known[w] = signed_features([f"^{w[:i]}" for i in n] + [f"{w[-i:]}$" for i in n], dim)
+            return known[w]
+
+        for s in parts:
+            yield s.map(lambda t: None if t is None else [one(w) for w in t])
 
-    return run(tokens)
+    return run(_plain(text))
 
 
 def shared_words(query: Column, passage: Column) -> Column:
     """A stand-in for a reranker: the share of the query's tokens found in the passage's."""
-    found = F.size(F.filter(query, lambda w: F.array_contains(passage, w))).cast("double")
-    return F.when(F.size(query) > 0, found / F.size(query)).otherwise(0.0)
+    asked, said = tokens(query), tokens(passage)
+    found = F.size(F.array_intersect(asked, said)).cast("double")
+    return F.when(F.size(asked) > 0, found / F.size(F.array_distinct(asked))).otherwise(0.0)
 
 
-def order_related(scores: DataFrame, n: int | None = None) -> DataFrame:
-    return best(scores, ["l"], [F.col("score").desc(), F.col("r").asc()], n)

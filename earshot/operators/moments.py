@@ -130,8 +130,3 @@ def final_order() -> list[Column]:
         F.when(F.col("related"), F.col("late")).desc_nulls_last(),
         F.col("fused_rank").asc(),
     ]
-
-
-def same_place(a: str, b: str) -> Column:
-    """Overlap of two passages of columns ``a``_start, ``a``_end, ``b``_start, ``b``_end."""
-    return overlap(*[F.col(f"{x}_{e}") for x in (a, b) for e in ("start", "end")])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from earshot.operators import diarization, segments
+from earshot.plans import ingest
 from earshot.plans.sql import U
 from earshot.session import cut
 from earshot.sources import catalog, html, transcripts
@@ -30,7 +31,7 @@ def monotone_start(spark, folder):
 
 def turn_boundaries(spark, folder):
     w = spoken_words(spark, folder)
-    ends = w.groupBy("file_id", F.floor(F.col("idx") / PER_UTTERANCE).alias("seg")).agg(F.max("idx").alias("idx")).where("seg % 3 = 0")
+    ends = w.groupBy("file_id", F.floor(F.col("idx") / PER_UTTERANCE).alias("seg")).agg(F.max("idx").alias("idx"))
     return segments.boundaries(w, ends).select("file_id", "idx", "boundary")
 
 
@@ -107,6 +108,13 @@ def two_voices(spark, folder):
     return diarization.window_posteriors(rows).select("file_id", "n", F.round("p0", 6).alias("p0"))
 
 
+def speakers_of_words(spark, folder):
+    """The speaker of every word, from voices to names: utterances' vectors stand in for windows of audio."""
+    u = catalog.utterances(spark, folder, "start_sec", "end_sec", "embedding").where("size(embedding) = 64 and end_sec > start_sec")
+    voices = u.select("file_id", F.col("idx").alias("n"), "start_sec", "end_sec", "embedding")
+    return ingest.speakers_of(spoken_words(spark, folder), voices).select("file_id", "idx", "speaker")
+
+
 def aligned_words(spark, folder):
     """Words aligned with the text of their utterance, one response per utterance."""
     u = catalog.utterances(spark, folder, "text", "words", "end_sec").where("text is not null and size(words) > 0")
@@ -163,13 +171,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         monotone_start, turn_boundaries, speech_regions, sliding_windows, turn_merge, first_speaker, segment_ends, passages, utterances_of_words, roles_score,
-        frame_posteriors, word_likelihoods, viterbi_path, two_voices, aligned_words, html_turns, transcript_round_trip,
+        frame_posteriors, word_likelihoods, viterbi_path, two_voices, speakers_of_words, aligned_words, html_turns, transcript_round_trip,
     )
 }
 SQL = {
     "monotone_start": f"""WITH {U}, {W}, x AS (SELECT file_id, idx, max(start_sec) OVER ({BF} ROWS UNBOUNDED PRECEDING) AS s, end_sec FROM w)
         SELECT file_id, idx, round(s, 3) AS start_sec, round(greatest(end_sec, s + 0.02), 3) AS end_sec FROM x""",
-    "turn_boundaries": f"""WITH {U}, {W}, e AS (SELECT file_id, max(idx) AS idx FROM w GROUP BY file_id, idx // {PER_UTTERANCE} HAVING any_value(idx // {PER_UTTERANCE}) % 3 = 0),
+    "turn_boundaries": f"""WITH {U}, {W}, e AS (SELECT file_id, max(idx) AS idx FROM w GROUP BY file_id, idx // {PER_UTTERANCE}),
         x AS (SELECT w.*, e.idx IS NOT NULL AS is_end FROM w LEFT JOIN e ON e.file_id = w.file_id AND e.idx = w.idx)
         SELECT file_id, idx, row_number() OVER ({BF}) = 1 OR coalesce(regexp_matches(lag(text) OVER ({BF}), '[.?!]$'), false) OR coalesce(lag(is_end) OVER ({BF}), false)
                OR coalesce(start_sec - lag(end_sec) OVER ({BF}) >= 0.6, false) AS boundary FROM x""",

@@ -27,10 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
-def owned(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one, deleted by ``release`` or when the application ends."""
+def owned(spark: SparkSession, name: str, *, lasting: bool = False) -> str:
+    """A new folder in the shared one, deleted when the application ends; unless it is ``lasting``, by ``release`` too."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    if not lasting:
+        _WRITTEN.append(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return path

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 BLOCKS = ("p", "h2", "h3", "h4")
+#: Fixed formats of transcript pages: a direction for the stage, and how the host is marked.
+DIRECTION = r"[<\[][^>\]]*[>\]]"
+HOST_MARK = r"(?i)\s*\(host\)$"
 
 
 class _Blocks(HTMLParser):
@@ -66,8 +69,8 @@ def page_turns(html: str | None) -> list[tuple[str, str]]:
     turns: list[list] = []
     for text, bold in blocks[begin + 1 :]:
         if bold and bold == text and len(text.split()) <= 6 and text[-1] not in ".?!":
-            turns.append([re.sub(r"(?i)\s*\(host\)$", "", text.rstrip(":")), []])
-        elif turns and not re.fullmatch(r"[<\[][^>\]]*[>\]]", text):
+            turns.append([re.sub(HOST_MARK, "", text.rstrip(":")), []])
+        elif turns and not re.fullmatch(DIRECTION, text):
             turns[-1][1].append(text)
     out: list[list[str]] = []
     for who, said in turns:

@@ -50,6 +50,13 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def folder_state(spark: SparkSession, path: str) -> tuple:
+    """What tells one state of a file or folder from another: names, sizes and times of change."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(target))) if fs.exists(target) else ()
+
+
 class Store:
     """Tables under ``folder``: each rebuild is a new version, visible to readers only once the pointer names it."""
 

@@ -117,7 +117,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     for item in raw.get("files") or []:
         fid = str(item["file_id"])
         if fid in seen:
-            raise ValueError(f"duplicate file_id in manifest: {fid}")
+            raise ValueError(f"the manifest lists {fid} twice")
         seen.add(fid)
         who = item.get("speakers") or {}
         rows.append((fid, str(item.get("title", fid)), who.get("host"), who.get("guest")))
@@ -131,7 +131,7 @@ def edit_manifest(path: str, edit) -> None:
     n = next((i for i, line in enumerate(lines) if not line.startswith("#")), len(lines))
     data = yaml.safe_load("".join(lines)) or {}
     edit(data)
-    file.write_text("".join(lines[:n]) + yaml.safe_dump(data, sort_keys=False, allow_unicode=True, width=120), encoding="utf-8")
+    file.write_text("".join(lines[:n]) + yaml.safe_dump(data, sort_keys=False, allow_unicode=True, width=100), encoding="utf-8")
 
 
 def read_labelled_queries(spark: SparkSession, path: str) -> tuple[DataFrame, float]:
@@ -146,7 +146,7 @@ def read_labelled_queries(spark: SparkSession, path: str) -> tuple[DataFrame, fl
     return spark.createDataFrame(rows, kinds), float(raw.get("tolerance_sec", 5.0))
 
 
-def write_labelled_queries(queries: DataFrame, path: str, header: str = "# GENERATED - edit the source, not this file.\n", tolerance_sec: float = 5.0) -> None:
+def write_labelled_queries(queries: DataFrame, path: str, header: str = "# Written by a program; changes made here are lost.\n", tolerance_sec: float = 5.0) -> None:
     """The labelled queries as YAML under a comment line. A label set is written by hand, so it fits the driver."""
     out = []
     for q in queries.orderBy("query_id").toLocalIterator():
@@ -155,16 +155,15 @@ def write_labelled_queries(queries: DataFrame, path: str, header: str = "# GENER
         item["relevant"] = [{"file": r.file_id, "start": r.start_sec, "end": r.end_sec, "grade": r.grade, "quote": r.quote} for r in q.relevant or []]
         out.append(item)
     body = {"tolerance_sec": tolerance_sec, "queries": out}
-    Path(path).write_text(header + _yaml().safe_dump(body, sort_keys=False, allow_unicode=True, width=110), encoding="utf-8")
+    Path(path).write_text(header + _yaml().safe_dump(body, sort_keys=False, allow_unicode=True, width=100), encoding="utf-8")
 
 
-def hits_as_json(hits: DataFrame) -> DataFrame:
-    """(query_id, rank, json): each hit as the search service would send it, with its time as MM:SS.s."""
+def hits_as_json(hits: DataFrame, *, keys: list[str]) -> DataFrame:
+    """(*keys, json): each hit as the search service would send it, with its time as MM:SS.s; ``keys`` are not sent."""
     from earshot.functions.text import minutes
 
-    fields = [c for c in hits.columns if c not in ("query_id",)]
-    body = F.to_json(F.struct(*fields, minutes(F.col("start_sec")).alias("timestamp")))
-    return hits.select("query_id", "rank", body.alias("json"))
+    body = F.to_json(F.struct(*[c for c in hits.columns if c not in keys], minutes(F.col("start_sec")).alias("timestamp")))
+    return hits.select(*keys, body.alias("json"))
 
 
 def land(folder: str, name: str, data: bytes, *, most_bytes: int = 200 * 1024 * 1024) -> Path:
