@@ -43,12 +43,16 @@ def packed_maxsim(left: Column, right: Column, width: int) -> Column:
     return run(left, right)
 
 
+def half(vectors) -> bytes:
+    return np.asarray(vectors, np.float16).tobytes()
+
+
 def pack_half(vectors: Column) -> Column:
     """An array of vectors as bytes of half-precision numbers."""
 
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda m: None if m is None else np.array([np.asarray(v) for v in m], np.float16).tobytes())
+        return s.map(lambda m: None if m is None else half([np.asarray(v) for v in m]))
 
     return run(vectors)
 
@@ -91,9 +95,9 @@ def word_vectors(text: Column, dim: int = 768) -> Column:
 
 
 def token_vectors(text: Column, dim: int = 256) -> Column:
-    """A stand-in for a token encoder: each word by its beginnings and endings."""
+    """A stand-in for a token encoder: each word by its beginnings and endings, as half-precision bytes."""
 
-    @F.pandas_udf("array<array<float>>")
+    @F.pandas_udf("binary")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, np.ndarray] = {}  # words return; the table starts anew when it is full
         def one(w):
@@ -105,7 +109,7 @@ def token_vectors(text: Column, dim: int = 256) -> Column:
             return known[w]
 
         for s in parts:
-            yield s.map(lambda t: None if t is None else [one(w) for w in t])
+            yield s.map(lambda t: None if t is None else half([one(w) for w in t]))
 
     return run(_plain(text))
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from earshot.operators.late import pack_half
+from earshot.operators.late import half
 
 
 class TextEncoder(Protocol):
@@ -63,14 +63,14 @@ def text_vectors(make: Callable[[], TextEncoder], *, batch: int = 32) -> Callabl
 
 
 def token_matrices(make: Callable[[], TokenEncoder], *, batch: int = 32) -> Callable[[Column, int], Column]:
-    """A column function (text, dim) -> matrix of the encoder that ``make`` builds."""
+    """A column function (text, dim) -> matrix of the encoder that ``make`` builds, as half-precision bytes."""
 
-    @F.pandas_udf("array<array<float>>")
+    @F.pandas_udf("binary")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
         for s in parts:
             known = s.dropna()
-            found = _in_batches(known.tolist(), batch, lambda t: [[row.tolist() for row in np.asarray(m, np.float32)] for m in model.encode(t)])
+            found = _in_batches(known.tolist(), batch, lambda t: [half(m) for m in model.encode(t)])
             yield pd.Series(found, index=known.index, dtype=object).reindex(s.index).where(s.notna(), None)
 
     return lambda text, dim: run(text)
@@ -87,8 +87,3 @@ def judged(make: Callable[[], PairJudge], *, batch: int = 32) -> Callable[[Colum
             yield pd.Series(_in_batches(pairs, batch, lambda x: list(map(float, model.predict(x)))), dtype="float64")
 
     return lambda query, passage: run(query, passage)
-
-
-def packed(encode_tokens: Callable[[Column, int], Column], text: Column, dim: int) -> Column:
-    """The matrix of a text as half-precision bytes."""
-    return pack_half(encode_tokens(text, dim))

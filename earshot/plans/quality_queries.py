@@ -73,7 +73,8 @@ def removal(spark, folder):
 
 
 def duplicate_ids(spark, folder):
-    return library.duplicate_ids(table(spark, folder, "audio_files"))
+    """The recordings that the table of speakers lists more than once."""
+    return library.duplicate_ids(table(spark, folder, "speakers"))
 
 
 def not_built(spark, folder):
@@ -146,7 +147,7 @@ SQL = {
     "removal": " UNION ALL ".join(
         f"SELECT '{n}' AS name, count(*) AS n FROM {n} WHERE file_id IS NULL OR file_id NOT IN (SELECT file_id FROM audio_files WHERE duration_sec < 300)" for n in ("audio_files", "chunks", "hits", "speakers", "utterances")
     ),
-    "duplicate_ids": "SELECT file_id FROM audio_files GROUP BY file_id HAVING count(*) > 1",
+    "duplicate_ids": "SELECT file_id FROM speakers GROUP BY file_id HAVING count(*) > 1",
     "not_built": "SELECT DISTINCT file_id FROM audio_files WHERE file_id NOT IN (SELECT file_id FROM utterances)",
     "orphan_hits": f"WITH {H} SELECT hit_id, file_id FROM h WHERE file_id IS NULL OR file_id NOT IN (SELECT file_id FROM audio_files)",
     "ingest_summary": rf"""WITH {U}, {S}, x AS (SELECT file_id, count(*) AS utterances, CAST(sum(len(list_filter(string_split_regex(trim(coalesce(text, '')), '\s+'), lambda w: w <> ''))) AS BIGINT) AS words FROM u GROUP BY file_id),

@@ -10,7 +10,7 @@ from earshot.functions import text as t
 from earshot.functions.phonetics import sound_codes, stemmed
 from earshot.operators import expansion, index, late, moments, search
 from earshot.plans.sql import A, C, H, S, U, content, tok
-from earshot.plans.text_queries import DF, LEN, POST, QP, QT, STATS, STOP, VOCAB, passages
+from earshot.plans.text_queries import ASKS, DF, LEN, POST, QP, QT, STATS, STOP, VOCAB, passages
 from earshot.session import cut
 from earshot.sources import catalog
 from earshot.sources.tables import table
@@ -159,17 +159,40 @@ def expansion_top3(spark, folder):
 
 
 def snap_best_sentence(spark, folder):
-    """The best sentence of the three best passages of each query, by words alone."""
+    """The best sentence of the three best passages of each query, by its words and by how near its vector is to the passage's."""
     lexemes = search.query_lexemes(asked(spark, folder))
     post, lengths, df, stats = _index(spark, folder)
     found = cut(search.bm25(lexemes, post, lengths, df, stats, depth=3).select("query_id", "id"), "found")
-    c = catalog.chunks(spark, folder, "file_id", "utt_start", "utt_end").join(found.select("id").distinct(), "id", "left_semi")
-    u = search.passage_utterances(c, catalog.utterances(spark, folder, "text"))
+    c = catalog.chunks(spark, folder, "file_id", "utt_start", "utt_end", "embedding").join(found.select("id").distinct(), "id", "left_semi")
+    u = cut(search.passage_utterances(c.drop("embedding"), catalog.utterances(spark, folder, "text", "embedding")), "sentences")
+    sem = u.join(c.select("id", F.col("embedding").alias("whole")), "id").select("id", "idx", F.round(search.paired_cosine(F.col("embedding"), F.col("whole")), 9).alias("sem"))
     words = u.select("id", "file_id", "idx", "text", F.explode_outer(F.array_distinct(t.tokens(F.coalesce("text", F.lit(""))))).alias("lexeme"))
     mass = lexemes.join(df.crossJoin(F.broadcast(stats)), "lexeme").select("query_id", "lexeme", index.inverse_frequency(F.col("n"), F.col("df")).alias("idf"))
-    lex = words.join(found, "id").join(mass, ["query_id", "lexeme"], "left").groupBy("query_id", "id", "file_id", "idx").agg(F.sum("idf").alias("lex"))
-    rows = lex.withColumns({"sem": F.lit(0.0), "n_words": F.lit(9)})
-    return moments.snap(rows, lex_w=0.5).select("query_id", "id", "file_id", "idx", F.round("snap_score", 6).alias("score"))
+    n_words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "")).alias("n_words")
+    lex = words.join(found, "id").join(mass, ["query_id", "lexeme"], "left").groupBy("query_id", "id", "file_id", "idx", n_words).agg(F.sum("idf").alias("lex"))
+    rows = lex.join(sem, ["id", "idx"], "left").join(q_intent(spark, folder), "query_id")
+    best = moments.snap(rows, lex_w=moments.lexical_weight(F.lit("hybrid"), F.col("intent")))
+    return best.select("query_id", "id", "file_id", "idx", F.round("snap_score", 6).alias("score"))
+
+
+def q_intent(spark, folder):
+    p = catalog.queries(spark, folder).select("query_id", *[c.alias(n) for n, c in q.parsed(F.col("query_text")).items()])
+    return p.select("query_id", q.intent(F.col("text"), F.col("phrases"), F.col("toks"), F.col("content")).alias("intent"))
+
+
+def hybrid_topk(spark, folder):
+    """The probe passages as queries, by their words and by their vectors: both channels fused, the first ten others of each."""
+    probes = table(spark, folder, "chunk_probes").select(F.col("chunk_id").alias("query_id")).distinct()
+    c = cut(catalog.chunks(spark, folder, "text", "embedding"), "passages")
+    mine = c.withColumnRenamed("id", "query_id").join(probes, "query_id", "left_semi")
+    post, lengths, df, stats = _index(spark, folder)
+    words = search.bm25(search.query_lexemes(mine), post, lengths, df, stats)
+    near = search.dense(mine.select("query_id", F.col("embedding").alias("vector")), c.select("id", F.col("embedding").alias("vector")))
+    place = lambda d, name: d.select("query_id", F.lit(name).alias("channel"), "id", F.col("rank").alias("place"), F.lit(1.0).alias("multiplier"))
+    fused = search.fuse(place(words, "lexical").unionByName(place(near, "dense"))).where("query_id <> id").drop("rank")
+    named = F.array_join(F.transform(F.map_entries("channels"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), " ")
+    best = search.best(fused, ["query_id"], [F.col("score").desc(), F.array_min(F.map_values("channels")).asc(), F.col("id").asc()], 10)
+    return best.select("query_id", "id", F.round("score", 6).alias("score"), named.alias("channels"), "rank")
 
 
 def temporal_nms(spark, folder):
@@ -248,6 +271,9 @@ NEAR = f"""nt AS (SELECT tok, {TG.format("tok")} AS qg FROM pol WHERE policy IS
         near AS (SELECT tok, term, len(list_intersect(qg, vg)) / len(list_distinct(list_concat(qg, vg))) AS trgm, levenshtein(term, tok) AS lev
                  FROM nt JOIN nv ON tok <> term),
         fz AS (SELECT * FROM near WHERE trgm >= 0.3 OR (len(tok) >= 5 AND contains(term, left(tok, len(tok) - 1))))"""
+#: The cosine of two vectors, null where there is none.
+COS = """CASE WHEN len({0}) = len({1}) AND list_sum(list_transform({0}, lambda x: x * x)) > 0 AND list_sum(list_transform({1}, lambda x: x * x)) > 0
+         THEN list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[])) / sqrt(list_dot_product(CAST({0} AS DOUBLE[]), CAST({0} AS DOUBLE[])) * list_dot_product(CAST({1} AS DOUBLE[]), CAST({1} AS DOUBLE[]))) END"""
 WORDS = ", ".join([C, VOCAB, QQ, QW, LEX, POL])
 
 QUERIES = {
@@ -255,7 +281,7 @@ QUERIES = {
     for f in (
         bm25_topk, idf_map, idf_coverage, dense_topk, rrf_fusion, phrase_filter, role_semi_join, allowed_labels, utterance_range_join, distinct_on,
         array_intersect_matched, vocab_anti_join, expansion_policy, vocab_fuzzy_join, expansion_spelling_top3, expansion_top3, snap_best_sentence,
-        temporal_nms, hydrated_hits, maxsim, rerank_split, half_precision, stemmed_bm25,
+        temporal_nms, hydrated_hits, hybrid_topk, maxsim, rerank_split, half_precision, stemmed_bm25,
     )
 }
 SQL = {
@@ -299,14 +325,35 @@ SQL = {
         FROM s3 WHERE exact >= 0.62 QUALIFY place <= 3""",
     "snap_best_sentence": f"""WITH {BASE}, {BM}, {U},
         k AS (SELECT query_id, id FROM bk WHERE rank <= 3),
-        x AS (SELECT k.query_id, k.id, u.file_id, u.idx, list_distinct({tok("coalesce(u.text, '')")}) AS toks
+        x AS (SELECT k.query_id, k.id, u.file_id, u.idx, list_distinct({tok("coalesce(u.text, '')")}) AS toks, len(list_filter(string_split(coalesce(u.text, ''), ' '), lambda w: w <> '')) AS n_words,
+                     {COS.format("u.embedding", "c.embedding")} AS sem
               FROM k JOIN c USING (id) JOIN u ON u.file_id = c.file_id AND u.idx >= utt_start AND u.idx < utt_end),
-        y AS (SELECT x.query_id, x.id, x.file_id, x.idx, coalesce(sum(idf), 0) AS lex FROM x
+        y AS (SELECT x.query_id, x.id, x.file_id, x.idx, n_words, coalesce(round(sem, 9), 0) AS sem, coalesce(sum(idf), 0) AS lex FROM x
               LEFT JOIN (SELECT ql.query_id, ql.lexeme, idf FROM ql JOIN idf USING (lexeme)) m ON m.query_id = x.query_id AND list_contains(x.toks, m.lexeme)
-              GROUP BY x.query_id, x.id, x.file_id, x.idx),
-        z AS (SELECT *, max(lex) OVER (PARTITION BY query_id, id) AS top FROM y),
-        w AS (SELECT *, round(CASE WHEN top > 0 THEN 0.5 * lex / top ELSE 0 END, 9) AS score FROM z)
+              GROUP BY x.query_id, x.id, x.file_id, x.idx, n_words, sem),
+        i AS (SELECT query_id, {QT} AS text, {QP} AS ph FROM queries), j AS (SELECT *, {tok("text")} AS toks FROM i), kind AS (SELECT query_id,
+              CASE WHEN len(ph) > 0 THEN 0.8 WHEN ends_with(text, '?') OR coalesce(list_contains({ASKS}, toks[1]), false) THEN 0.5
+                   WHEN len({content("toks", STOP)}) <= 2 AND len(toks) <= 3 THEN 0.8 ELSE 0.5 END AS lw FROM j),
+        z AS (SELECT *, max(lex) OVER (PARTITION BY query_id, id) AS top, min(sem) OVER (PARTITION BY query_id, id) AS lo, max(sem) OVER (PARTITION BY query_id, id) AS hi FROM y),
+        n AS (SELECT *, CASE WHEN top > 0 THEN lex / top ELSE 0 END AS ln_, CASE WHEN hi > lo THEN (sem - lo) / (hi - lo) * (CASE WHEN n_words < 4 THEN 0.5 ELSE 1 END) ELSE 0 END AS sn FROM z),
+        w AS (SELECT n.*, round(CASE WHEN top > 0 THEN lw * ln_ + (1 - lw) * sn ELSE sn END, 9) AS score FROM n JOIN kind USING (query_id))
         SELECT query_id, id, file_id, idx, round(score, 6) AS score FROM w QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY score DESC, idx) = 1""",
+    "temporal_nms": f"""WITH RECURSIVE {H}, o AS (SELECT query_id, rank, hit_id, file_id AS f, start_sec AS a, end_sec AS b, row_number() OVER (PARTITION BY query_id ORDER BY rank, hit_id) AS r
+              FROM h WHERE start_sec IS NOT NULL AND end_sec IS NOT NULL),
+        s AS (SELECT query_id, r, [{{'rank': rank, 'hit_id': hit_id, 'f': f, 'a': a, 'b': b}}] AS kept FROM o WHERE r = 1
+              UNION ALL SELECT o.query_id, o.r, CASE WHEN len(list_filter(kept, lambda k: k.f = o.f AND (abs(k.a - o.a) < 10
+                    OR greatest(0, least(k.b, o.b) - greatest(k.a, o.a)) / greatest(least(k.b - k.a, o.b - o.a), 1e-6) > 0.5))) > 0 THEN kept
+                    ELSE list_append(kept, {{'rank': o.rank, 'hit_id': o.hit_id, 'f': o.f, 'a': o.a, 'b': o.b}}) END
+              FROM s JOIN o ON o.query_id = s.query_id AND o.r = s.r + 1),
+        e AS (SELECT query_id, unnest(kept) AS k FROM (SELECT * FROM s QUALIFY r = max(r) OVER (PARTITION BY query_id)))
+        SELECT query_id, k.rank AS rank, k.hit_id AS hit_id FROM e""",
+    "hybrid_topk": f"""WITH {", ".join([C, POST, LEN, DF, STATS])}, m AS (SELECT * FROM c WHERE id IN (SELECT chunk_id FROM chunk_probes)),
+        ql AS (SELECT query_id, lexeme, CAST(count(*) AS DOUBLE) AS w FROM (SELECT id AS query_id, unnest({tok("text")}) AS lexeme FROM m) GROUP BY query_id, lexeme), {IDF}, {BM},
+        nd AS (SELECT m.id AS query_id, c.id, round({COS.format("m.embedding", "c.embedding")}, 6) AS s FROM m JOIN c ON {COS.format("m.embedding", "c.embedding")} IS NOT NULL),
+        ch AS (SELECT query_id, id, 'lexical' AS ch, rank AS pl FROM bk WHERE rank <= 50
+               UNION ALL SELECT query_id, id, 'dense', row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS pl FROM nd QUALIFY pl <= 50),
+        f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (10 + pl)), 9) AS score, min(pl) AS bp, string_agg(ch || ':' || pl, ' ' ORDER BY ch) AS channels FROM ch GROUP BY query_id, id)
+        SELECT query_id, id, round(score, 6) AS score, channels, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bp, id) AS INT) AS rank FROM f WHERE query_id <> id QUALIFY rank <= 10""",
     "hydrated_hits": f"""WITH {H}, {A}, {S} SELECT hit_id, coalesce(a.title, h.file_id) AS title, coalesce(s.role, 'unknown') AS role, s.name
         FROM h LEFT JOIN a ON a.file_id = h.file_id LEFT JOIN s ON s.file_id = h.file_id AND s.label = h.speaker""",
     "maxsim": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from earshot.operators import diarization, segments
 from earshot.plans import ingest
-from earshot.plans.sql import U
-from earshot.session import cut
+from earshot.functions.text import ABBREVIATIONS
+from earshot.plans.sql import A, U, stop_list
+from earshot.session import owned
 from earshot.sources import catalog, html, transcripts
 
 #: A recording's words are numbered by utterance and place.
@@ -47,7 +48,7 @@ def sliding_windows(spark, folder):
 
 def turn_merge(spark, folder):
     rows = segments.merged_turns(catalog.utterances(spark, folder, "speaker", "text"))
-    return rows.select("file_id", F.col("turn").cast("long").alias("turn"), "speaker", "first_idx", "last_idx", F.length("text").alias("n_chars"))
+    return rows.select("file_id", F.col("turn").cast("long").alias("turn"), "speaker", "first_idx", "last_idx", "text")
 
 
 def first_speaker(spark, folder):
@@ -64,7 +65,7 @@ def segment_ends(spark, folder):
 
 def passages(spark, folder):
     p = segments.passages(catalog.utterances(spark, folder, "start_sec", "end_sec", "speaker", "text"))
-    return p.select("id", "file_id", "utt_start", "utt_end", "start_sec", "end_sec", F.array_join(F.array_sort("speakers"), "|").alias("speakers"), F.length("text").alias("n_chars"))
+    return p.select("id", "file_id", "utt_start", "utt_end", "start_sec", "end_sec", F.array_join("speakers", "|").alias("speakers"), "text")
 
 
 def utterances_of_words(spark, folder):
@@ -98,6 +99,7 @@ def viterbi_path(spark, folder):
     """The speaker of every word, from window posteriors to the best path."""
     w = spoken_words(spark, folder)
     like = segments.word_likelihoods(w, segments.frame_posteriors(_windows(spark, folder)))
+    like = like.withColumns({c: F.round(c, 9) for c in ("l0", "l1")})  # sums of frames come in any order
     return segments.viterbi(like.join(segments.boundaries(w).select("file_id", "idx", "boundary"), ["file_id", "idx"]))
 
 
@@ -136,21 +138,17 @@ def html_turns(spark, folder):
 
 
 def transcript_round_trip(spark, folder):
-    """Utterances written as nested JSON and read back: those that differ (none)."""
-    from earshot.session import shared_dir
-
+    """Utterances written as nested JSON and read back, with all their fields."""
     u = catalog.utterances(spark, folder, "speaker", "start_sec", "end_sec", "text", "words")
     none = {"confidence": "double", "n_words": "bigint", "question_rate": "double"}
     s = catalog.speakers(spark, folder).withColumns({c: F.lit(None).cast(k) for c, k in none.items()})
-    docs = transcripts.nested(u, s, catalog.audio_files(spark, folder, "duration_sec"))
-    import uuid
-
-    path = f"{shared_dir(spark)}/transcripts-{uuid.uuid4().hex}"
-    transcripts.write_transcripts(docs, path)
+    path = owned(spark, "transcripts")
+    transcripts.write_transcripts(transcripts.nested(u, s, catalog.audio_files(spark, folder, "duration_sec")), path)
+    # one document per line here; a folder of single documents is read with line breaks in them
     back = transcripts.transcript_tables(spark.read.schema(transcripts.TRANSCRIPT).json(path))["utterances"]
-    flat = lambda df: df.select("file_id", "idx", "text", F.size("words").alias("n_words"))
-    known = catalog.audio_files(spark, folder, "duration_sec").select("file_id")
-    return cut(flat(u).join(known, "file_id", "left_semi").exceptAll(flat(back)), "differences")
+    total = lambda c: F.round(F.aggregate(F.transform("words", lambda w: w[c]), F.lit(0.0), lambda a, x: a + x), 3)
+    toks = F.array_join(F.transform("words", lambda w: w["tok"]), " ")
+    return back.select("file_id", "idx", "speaker", "start_sec", "end_sec", "text", toks.alias("toks"), total("start_sec").alias("starts"), total("end_sec").alias("ends"))
 
 
 W = f"""w AS (SELECT file_id, CAST(idx AS BIGINT) * {PER_UTTERANCE} + n - 1 AS idx, coalesce(speaker, '') AS speaker, words[n].tok AS text, words[n].start_sec AS start_sec, words[n].end_sec AS end_sec
@@ -165,6 +163,14 @@ WIN = """k AS (SELECT *, greatest(0, CAST(ceil(round((e - s - 1.5) / 0.75, 9)) A
 FRM = """fr AS (SELECT file_id, f, p, 1 - abs((f + 0.5) * 0.1 - (s + e) / 2) / ((e - s) / 2 + 0.1) AS wt FROM
         (SELECT *, 0.5 + 0.4 * sin(n) AS p, unnest(range(CAST(floor(s / 0.1) AS BIGINT), greatest(CAST(floor(s / 0.1) AS BIGINT) + 1, CAST(ceil(e / 0.1) AS BIGINT)))) AS f FROM win)),
     fp AS (SELECT file_id, f AS frame, sum(wt * p) / sum(wt) AS p0 FROM fr GROUP BY file_id, f HAVING sum(wt) > 0)"""
+LIKE = """x AS (SELECT file_id, idx, CAST(floor(start_sec / 0.1) AS BIGINT) AS a, greatest(CAST(floor(start_sec / 0.1) AS BIGINT) + 1, CAST(ceil(end_sec / 0.1) AS BIGINT)) AS b FROM w),
+        un AS (SELECT x.file_id, x.idx, avg(p0) AS p0 FROM x JOIN fp ON fp.file_id = x.file_id AND frame >= a AND frame < b GROUP BY x.file_id, x.idx),
+        br AS (SELECT x.file_id, x.idx, (a + b) // 2 AS t FROM x LEFT JOIN un USING (file_id, idx) WHERE un.p0 IS NULL),
+        nr AS (SELECT br.file_id, br.idx, min_by(p0, (abs(frame - t), frame)) AS p0 FROM br LEFT JOIN fp USING (file_id) GROUP BY br.file_id, br.idx),
+        lk AS (SELECT * FROM un UNION ALL SELECT * FROM nr)"""
+ENDS = (
+    "NOT (list_contains(" + stop_list(ABBREVIATIONS) + r", lower({0})) OR regexp_full_match(lower({0}), '([a-z]\.){{{{2,}}}}')) AND regexp_matches({0}, '[.?!][\"'')\]]*$')"
+).replace("{{{{", "{{").replace("}}}}", "}}").replace('\\"', '"')
 NW = r"len(list_filter(string_split_regex(trim(coalesce(text, '')), '\s+'), lambda x: x <> ''))"
 
 QUERIES = {
@@ -185,7 +191,7 @@ SQL = {
     "sliding_windows": f"WITH {U}, {W}, {REG}, {WIN} SELECT file_id, n, round(s, 3) AS start_sec, round(e, 3) AS end_sec FROM win",
     "turn_merge": f"""WITH {U}, x AS (SELECT *, CASE WHEN speaker IS NOT DISTINCT FROM lag(speaker) OVER ({BF}) AND row_number() OVER ({BF}) > 1 THEN 0 ELSE 1 END AS nw FROM u),
         y AS (SELECT *, CAST(sum(nw) OVER ({BF} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS turn FROM x)
-        SELECT file_id, turn, min(speaker) AS speaker, min(idx) AS first_idx, max(idx) AS last_idx, CAST(sum(len(coalesce(text, ''))) + count(*) - 1 AS INT) AS n_chars FROM y GROUP BY file_id, turn""",
+        SELECT file_id, turn, min(speaker) AS speaker, min(idx) AS first_idx, max(idx) AS last_idx, string_agg(coalesce(text, ''), ' ' ORDER BY idx) AS text FROM y GROUP BY file_id, turn""",
     "first_speaker": f"""WITH {U} SELECT file_id, idx, CASE WHEN coalesce(speaker, '') = first(coalesce(speaker, '')) OVER (PARTITION BY file_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
         THEN 'SPEAKER_00' ELSE 'SPEAKER_01' END AS label FROM u""",
     "segment_ends": f"""WITH {U}, {W}, o AS (SELECT file_id, start_sec, row_number() OVER (PARTITION BY file_id ORDER BY start_sec, idx) AS k FROM w),
@@ -197,22 +203,47 @@ SQL = {
                      coalesce(min(b.p) FILTER (b.cum >= a.cum - a.n + 25) + 1, any_value(a.size) + 1) AS k
               FROM y a JOIN y b ON a.file_id = b.file_id AND b.p >= a.p GROUP BY a.file_id, a.p),
         walk AS (SELECT file_id, p, size, j, k, 0 AS n FROM z WHERE p = 1
-                 UNION ALL SELECT z.file_id, z.p, z.size, z.j, z.k, w.n + 1 FROM walk w JOIN z ON z.file_id = w.file_id AND z.p = greatest(least(w.k, w.j + 1), w.p + 1) WHERE w.j < w.size)
+                 UNION ALL SELECT z.file_id, z.p, z.size, z.j, z.k, w.n + 1 FROM walk w JOIN z ON z.file_id = w.file_id AND z.p = greatest(least(w.k, w.j + 1), w.p + 1) WHERE w.j < w.size),
+        wn AS (SELECT file_id, p, least(j, size) AS j, max(n) AS n FROM walk GROUP BY ALL),
+        sp AS (SELECT file_id, n, string_agg(speaker, '|' ORDER BY first) AS speakers FROM (SELECT w.file_id, w.n, y.speaker, min(y.p) AS first
+               FROM wn w JOIN y ON y.file_id = w.file_id AND y.p BETWEEN w.p AND w.j WHERE y.speaker IS NOT NULL GROUP BY ALL) GROUP BY file_id, n)
         SELECT printf('%s_c%04d', w.file_id, w.n) AS id, w.file_id, CAST(min(y.idx) AS INT) AS utt_start, CAST(max(y.idx) + 1 AS INT) AS utt_end,
                min_by(y.start_sec, y.p) AS start_sec, CASE WHEN bool_or(y.p = w.j AND y.end_sec IS NULL) THEN NULL ELSE max_by(y.end_sec, y.p) END AS end_sec,
-               array_to_string(list_sort(list_filter(list_distinct(list(y.speaker)), lambda s: s IS NOT NULL)), '|') AS speakers, CAST(sum(len(coalesce(y.text, ''))) + count(*) - 1 AS INT) AS n_chars
-        FROM (SELECT file_id, p, least(j, size) AS j, max(n) AS n FROM walk GROUP BY ALL) w JOIN y ON y.file_id = w.file_id AND y.p BETWEEN w.p AND w.j GROUP BY w.file_id, w.n, w.p""",
+               coalesce(any_value(sp.speakers), '') AS speakers, string_agg(coalesce(y.text, ''), ' ' ORDER BY y.p) AS text
+        FROM wn w JOIN y ON y.file_id = w.file_id AND y.p BETWEEN w.p AND w.j LEFT JOIN sp ON sp.file_id = w.file_id AND sp.n = w.n GROUP BY w.file_id, w.n, w.p""",
     "roles_score": f"""WITH {U}, x AS (SELECT file_id, speaker AS label, CAST(sum({NW}) AS BIGINT) AS n_words, avg(CASE WHEN ends_with(rtrim(coalesce(text, '')), '?') THEN 1.0::DOUBLE ELSE 0 END) AS q, min(idx) AS first FROM u WHERE speaker IS NOT NULL GROUP BY ALL),
         y AS (SELECT *, round(3 * q + 1.5 * (0.5 - n_words / greatest(sum(n_words) OVER (PARTITION BY file_id), 1)) + 0.5 * CAST(first = min(first) OVER (PARTITION BY file_id) AS INT), 12) AS score FROM x),
         z AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, first) AS place FROM y),
         m AS (SELECT file_id, max(score) FILTER (place = 1) - max(score) FILTER (place = 2) AS margin FROM z GROUP BY file_id)
         SELECT file_id, label, CASE WHEN place = 1 THEN 'host' ELSE 'guest' END AS role, round(1 / (1 + exp(-4 * coalesce(margin, 1))), 4) AS confidence, n_words, round(q, 4) AS question_rate FROM z JOIN m USING (file_id)""",
     "frame_posteriors": f"WITH {U}, {W}, {REG}, {WIN}, {FRM} SELECT file_id, frame, round(p0, 6) AS p0 FROM fp",
-    "word_likelihoods": f"""WITH {U}, {W}, {REG}, {WIN}, {FRM},
-        x AS (SELECT file_id, idx, CAST(floor(start_sec / 0.1) AS BIGINT) AS a, greatest(CAST(floor(start_sec / 0.1) AS BIGINT) + 1, CAST(ceil(end_sec / 0.1) AS BIGINT)) AS b FROM w),
-        un AS (SELECT x.file_id, x.idx, avg(p0) AS p0 FROM x JOIN fp ON fp.file_id = x.file_id AND frame >= a AND frame < b GROUP BY x.file_id, x.idx),
-        br AS (SELECT x.file_id, x.idx, (a + b) // 2 AS t FROM x LEFT JOIN un USING (file_id, idx) WHERE un.p0 IS NULL),
-        nr AS (SELECT br.file_id, br.idx, min_by(p0, (abs(frame - t), frame)) AS p0 FROM br LEFT JOIN fp USING (file_id) GROUP BY br.file_id, br.idx)
-        SELECT file_id, idx, round(ln(least(1.0, greatest(1e-4, coalesce(p0, 0.5)))), 5) AS l0 FROM (SELECT * FROM un UNION ALL SELECT * FROM nr)""",
-    "transcript_round_trip": "SELECT file_id, idx, text, 0 AS n_words FROM utterances WHERE false",
+    "word_likelihoods": f"""WITH {U}, {W}, {REG}, {WIN}, {FRM}, {LIKE}
+        SELECT file_id, idx, round(ln(least(1.0, greatest(1e-4, coalesce(p0, 0.5)))), 5) AS l0 FROM lk""",
+    "transcript_round_trip": f"""WITH {U}, {A} SELECT file_id, idx, speaker, start_sec, end_sec, text,
+        CASE WHEN words IS NOT NULL THEN coalesce(array_to_string(list_transform(words, lambda w: w.tok), ' '), '') END AS toks,
+        CASE WHEN words IS NOT NULL THEN round(coalesce(list_sum(list_transform(words, lambda w: w.start_sec)), 0), 3) END AS starts,
+        CASE WHEN words IS NOT NULL THEN round(coalesce(list_sum(list_transform(words, lambda w: w.end_sec)), 0), 3) END AS ends
+        FROM u WHERE file_id IN (SELECT file_id FROM a)""",
+    "utterances_of_words": f"""WITH RECURSIVE {U}, {W},
+        x AS (SELECT *, CAST(coalesce(speaker <> lag(speaker) OVER ({BF}), false) OR coalesce(start_sec - lag(end_sec) OVER ({BF}) >= 1.5, false)
+                     OR coalesce({ENDS.format(f"lag(text) OVER ({BF})")}, false) AS INT) AS nw FROM w),
+        y AS (SELECT *, sum(nw) OVER ({BF} ROWS UNBOUNDED PRECEDING) AS piece FROM x),
+        z AS (SELECT *, row_number() OVER (PARTITION BY file_id, piece ORDER BY idx) AS k, count(*) OVER (PARTITION BY file_id, piece) AS size FROM y),
+        full_ AS (SELECT file_id, piece, a.k - 1 AS a, a.k - 1 + coalesce(max(b.k - a.k + 1) FILTER (ends_with(b.text, ',') AND b.k - a.k + 1 > 26), 50) AS b
+                  FROM z a JOIN z b USING (file_id, piece) WHERE a.size >= a.k + 49 AND b.k BETWEEN a.k AND a.k + 49 GROUP BY file_id, piece, a.k),
+        cut AS (SELECT DISTINCT file_id, piece, CAST(0 AS BIGINT) AS a FROM z UNION ALL SELECT c.file_id, c.piece, f.b FROM cut c JOIN full_ f ON f.file_id = c.file_id AND f.piece = c.piece AND f.a = c.a),
+        g AS (SELECT z.*, max(c.a) AS a FROM z JOIN cut c ON c.file_id = z.file_id AND c.piece = z.piece AND c.a < z.k GROUP BY ALL),
+        o AS (SELECT file_id, piece, a, min_by(speaker, k) AS speaker, min_by(start_sec, k) AS start_sec, max_by(end_sec, k) AS end_sec, string_agg(text, ' ' ORDER BY k) AS text FROM g GROUP BY ALL)
+        SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY piece, a) - 1 AS INT) AS idx, speaker, start_sec, end_sec, text FROM o""",
+    "viterbi_path": f"""WITH RECURSIVE {U}, {W}, {REG}, {WIN}, {FRM}, {LIKE},
+        bd AS (SELECT file_id, idx, row_number() OVER ({BF}) = 1 OR coalesce(regexp_matches(lag(text) OVER ({BF}), '[.?!]$'), false) OR coalesce(start_sec - lag(end_sec) OVER ({BF}) >= 0.6, false) AS free,
+                      row_number() OVER ({BF}) AS k FROM w),
+        v AS (SELECT bd.file_id, bd.idx, k, CASE WHEN free THEN 0.6 ELSE 4.0 END AS cost, round(ln(least(1.0, greatest(1e-4, coalesce(p0, 0.5)))), 9) AS l0, round(ln(least(1.0, greatest(1e-4, 1 - coalesce(p0, 0.5)))), 9) AS l1
+              FROM bd JOIN lk ON lk.file_id = bd.file_id AND lk.idx = bd.idx),
+        f AS (SELECT file_id, k, l0 AS s0, l1 AS s1, 0 AS f0, 0 AS f1 FROM v WHERE k = 1
+              UNION ALL SELECT v.file_id, v.k, greatest(s0, s1 - cost) + l0, greatest(s0 - cost, s1) + l1, CASE WHEN s0 >= s1 - cost THEN 0 ELSE 1 END, CASE WHEN s0 - cost >= s1 THEN 0 ELSE 1 END
+              FROM f JOIN v ON v.file_id = f.file_id AND v.k = f.k + 1),
+        b AS (SELECT file_id, k, CASE WHEN s0 >= s1 THEN 0 ELSE 1 END AS path, CASE WHEN s0 >= s1 THEN f0 ELSE f1 END AS prev FROM f QUALIFY k = max(k) OVER (PARTITION BY file_id)
+              UNION ALL SELECT f.file_id, f.k, b.prev, CASE WHEN b.prev = 0 THEN f0 ELSE f1 END FROM b JOIN f ON f.file_id = b.file_id AND f.k = b.k - 1)
+        SELECT v.file_id, v.idx, CAST(path AS INT) AS path FROM b JOIN v ON v.file_id = b.file_id AND v.k = b.k""",
 }

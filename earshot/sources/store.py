@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from earshot.session import together
+
 
 def replace_file(spark: SparkSession, path: str, text: str) -> None:
     """Put ``text`` in the place of a small file at once: readers see the old one or the new one, never a part."""
@@ -70,11 +72,14 @@ class Store:
     def rebuild(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> str:
         """Write all ``tables`` as a new version, then move the pointer; a failure before that leaves the old version."""
         version = uuid.uuid4().hex
-        for name, df in tables.items():
+
+        def write(name: str, df: DataFrame) -> None:
             writer = df.write.mode("errorifexists")
             if partition_by and name in partition_by:
                 writer = writer.partitionBy(*partition_by[name])
             writer.parquet(f"{self.folder}/{version}/{name}")
+
+        together(*[lambda n=n, df=df: write(n, df) for n, df in tables.items()])
         replace_file(self.spark, f"{self.folder}/CURRENT", version)
         return version
 

@@ -191,7 +191,7 @@ def test_models_are_fed_in_batches(spark):
             assert r.v is None and r.m is None
             continue
         v = Letters().encode([r.t])[0]
-        assert np.allclose(r.v, v / max(np.linalg.norm(v), 1e-12)) and r.m == Letters().encode(r.t.split()).tolist() and r.j == len(r.t) / (len(r.t) + 2)
+        assert np.allclose(r.v, v / max(np.linalg.norm(v), 1e-12)) and np.frombuffer(r.m, np.float16).tolist() == Letters().encode(r.t.split()).ravel().tolist() and r.j == len(r.t) / (len(r.t) + 2)
 
 
 def test_from_recordings_to_an_index(spark, tmp_path):
