@@ -54,22 +54,24 @@ def neighbours(words: DataFrame, vocabulary: DataFrame, *, least_similar: float
 
     ``words`` (tok, metaphone, dmetaphone, dmetaphone_alt), ``vocabulary`` (term, df and the same codes). A word is near if
     its trigrams are similar enough, a code is equal, or it contains the query word but for its last letter. Instead of
-    comparing every pair, each of these is a join on equal keys: shared trigrams (counted before the similarity is
-    computed), equal codes, and for containment the shared trigram of the words' own letters.
+    comparing every pair, each of these is a join on equal keys: equal codes, and shared trigrams, whose number gives the
+    similarity. Words too short or too long to be similar are dropped in that join, unless they contain the query word.
     """
     w = words.select("tok", F.col("metaphone").alias("qm"), F.col("dmetaphone").alias("qd"), F.col("dmetaphone_alt").alias("qa"))
     w = if_small(cut(w, "looked-up"), 96)
-    keys = lambda c, word: F.explode(trigrams(word)).alias(c)
-    by_gram = w.select("tok", keys("g", F.col("tok"))).join(vocabulary.select("term", keys("g", F.col("term"))), "g").select("tok", "term")
-    by_sound = w.join(vocabulary, (F.col("qm") == F.col("metaphone")), "inner").select("tok", "term")
-    by_double = w.join(vocabulary, (F.col("qd") == F.col("dmetaphone")), "inner").select("tok", "term")
-    pairs = by_gram.unionByName(by_sound).unionByName(by_double).distinct().where("tok <> term")
+    grams = lambda c, n: (F.col(c), F.size(trigrams(F.col(c))).alias(n), F.explode(trigrams(F.col(c))).alias("g"))
+    inside = (F.length("tok") >= 5) & F.contains(F.col("term"), F.expr("left(tok, length(tok) - 1)"))
+    alike = (F.col("nv") >= F.col("nq") * least_similar) & (F.col("nq") >= F.col("nv") * least_similar)
+    shared = w.select(*grams("tok", "nq")).join(vocabulary.select(*grams("term", "nv")), "g").where((alike | inside) & (F.col("tok") != F.col("term")))
+    shared = shared.groupBy("tok", "term", "nq", "nv").agg(F.count(F.lit(1)).cast("double").alias("both"))
+    shared = shared.select("tok", "term", (F.col("both") / (F.col("nq") + F.col("nv") - F.col("both"))).alias("trgm")).where((F.col("trgm") >= least_similar) | inside)
+    by_sound = w.join(vocabulary, F.col("qm") == F.col("metaphone")).select("tok", "term")
+    by_double = w.join(vocabulary, F.col("qd") == F.col("dmetaphone")).select("tok", "term")
+    heard = by_sound.unionByName(by_double).where("tok <> term").distinct().withColumn("trgm", similarity(F.col("term"), F.col("tok")))
+    pairs = shared.unionByName(heard).groupBy("tok", "term").agg(F.max("trgm").alias("trgm"))
     rows = pairs.join(w, "tok").join(vocabulary, "term")
-    near = similarity(F.col("term"), F.col("tok"))
-    part = (F.length("tok") >= 5) & F.contains(F.col("term"), F.expr("left(tok, length(tok) - 1)"))
     mph = F.col("metaphone") == F.col("qm")
     two = lambda q: (F.col(q) == F.col("dmetaphone")) | (F.col(q) == F.col("dmetaphone_alt"))
-    rows = rows.withColumn("trgm", near).where((F.col("trgm") >= least_similar) | mph | (F.col("qd") == F.col("dmetaphone")) | part)
     return rows.select("tok", "term", "trgm", F.levenshtein("term", "tok").alias("lev"), mph.alias("mph"), (two("qd") | two("qa")).alias("dm"))
 
 

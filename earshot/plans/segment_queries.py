@@ -224,6 +224,15 @@ SQL = {
         CASE WHEN words IS NOT NULL THEN round(coalesce(list_sum(list_transform(words, lambda w: w.start_sec)), 0), 3) END AS starts,
         CASE WHEN words IS NOT NULL THEN round(coalesce(list_sum(list_transform(words, lambda w: w.end_sec)), 0), 3) END AS ends
         FROM u WHERE file_id IN (SELECT file_id FROM a)""",
+    "html_turns": rf"""WITH {U}, b AS (SELECT file_id || ':' || (idx // 256) AS page_id, idx, unnest([{{'k': 0, 't': speaker}}, {{'k': 1, 't': text}}]) AS b FROM u WHERE text IS NOT NULL AND speaker IS NOT NULL),
+        n AS (SELECT page_id, idx, b.k AS k, trim(regexp_replace(replace(b.t, chr(160), ' '), '\s+', ' ', 'g')) AS t FROM b),
+        m AS (SELECT *, k = 0 AND len(string_split(t, ' ')) <= 6 AND right(t, 1) NOT IN ('.', '?', '!') AS mark FROM n WHERE t <> ''),
+        x AS (SELECT *, sum(CAST(mark AS INT)) OVER (PARTITION BY page_id ORDER BY idx, k ROWS UNBOUNDED PRECEDING) AS tn FROM m),
+        g AS (SELECT page_id, tn, any_value(t) FILTER (mark) AS t, string_agg(t, ' ' ORDER BY idx, k) FILTER (NOT mark AND NOT regexp_full_match(t, '[<\[][^>\]]*[>\]]')) AS said FROM x WHERE tn > 0 GROUP BY page_id, tn),
+        w AS (SELECT page_id, tn, regexp_replace(rtrim(t, ':'), '\s*\(host\)$', '', 'i') AS who, said FROM g WHERE said IS NOT NULL),
+        v AS (SELECT *, CASE WHEN who IS NOT DISTINCT FROM lag(who) OVER (PARTITION BY page_id ORDER BY tn) THEN 0 ELSE 1 END AS nw FROM w WHERE NOT starts_with(who, '<')),
+        y AS (SELECT *, sum(nw) OVER (PARTITION BY page_id ORDER BY tn ROWS UNBOUNDED PRECEDING) AS turn FROM v)
+        SELECT page_id, CAST(turn - 1 AS INT) AS turn, min(who) AS speaker, string_agg(said, ' ' ORDER BY tn) AS text FROM y GROUP BY page_id, turn""",
     "utterances_of_words": f"""WITH RECURSIVE {U}, {W},
         x AS (SELECT *, CAST(coalesce(speaker <> lag(speaker) OVER ({BF}), false) OR coalesce(start_sec - lag(end_sec) OVER ({BF}) >= 1.5, false)
                      OR coalesce({ENDS.format(f"lag(text) OVER ({BF})")}, false) AS INT) AS nw FROM w),

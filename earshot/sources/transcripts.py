@@ -159,10 +159,10 @@ def write_labelled_queries(queries: DataFrame, path: str, header: str = "# Writt
 
 
 def hits_as_json(hits: DataFrame, *, keys: list[str]) -> DataFrame:
-    """(*keys, json): each hit as the search service would send it, with its time as MM:SS.s; ``keys`` are not sent."""
+    """(*keys, json): each hit as the search service would send it, with its time as MM:SS.s; ``keys`` are not sent, nulls are."""
     from earshot.functions.text import minutes
 
-    body = F.to_json(F.struct(*[c for c in hits.columns if c not in keys], minutes(F.col("start_sec")).alias("timestamp")))
+    body = F.to_json(F.struct(*[c for c in hits.columns if c not in keys], minutes(F.col("start_sec")).alias("timestamp")), {"ignoreNullFields": "false"})
     return hits.select(*keys, body.alias("json"))
 
 
