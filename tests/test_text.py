@@ -212,3 +212,11 @@ def test_marks_become_spans(spark):
         marked.append(line)
         want.append(spans)
     assert [[tuple(x) for x in r] for r in each(spark, moments.spans_of_marks, marked)] == want
+
+
+def test_functions_can_be_called_from_sql(spark):
+    from earshot.functions.registered import register
+
+    assert len(register(spark)) == 4
+    r = spark.sql("SELECT english_stem('knitting') AS a, metaphone('knots') AS b, dmetaphone('Schmidt') AS c, dmetaphone_alt('Schmidt') AS d, english_stem(NULL) AS e").first()
+    assert tuple(r) == (stem("knitting"), metaphone("knots"), *double_metaphone("Schmidt"), None)
