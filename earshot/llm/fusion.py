@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.operators.ranking import row_numbers, running_total
+from earshot.operators.ranking import Along, carried, placed, row_numbers
+from earshot.operators.search import if_small
+from earshot.session import cut
 
 
 def borda(scores: DataFrame, items: DataFrame, *, weights: dict[str, float] | None = None) -> DataFrame:
@@ -17,7 +19,8 @@ def borda(scores: DataFrame, items: DataFrame, *, weights: dict[str, float] | No
 
     Null or NaN values count as missing, null groups or items are left out, repeated rows (equal group, item and metric)
     count once with the best value. Empty tables give an empty result. Hot groups: equal values are counted before they
-    are ranked, and ranks and places are running sums over ranges, so a group with a third of all rows is spread out.
+    are ranked, and ranks and places are running sums over ranges, so a group with a third of all rows is spread out; what
+    is one row per group is broadcast where it is known to be small, and items are joined to their ranks by value.
     """
     items = items.select("group", "item").where("group is not null and item is not null").distinct()
     value = F.col("value").cast("double")
@@ -28,16 +31,20 @@ def borda(scores: DataFrame, items: DataFrame, *, weights: dict[str, float] | No
         weight = F.when(F.col("metric") == name, F.lit(float(w))).otherwise(weight)
 
     counts = rows.groupBy("group", "metric", "value").agg(F.count(F.lit(1)).alias("c"))
-    ranks = running_total(counts, ["group", "metric"], [F.col("value").asc()], F.col("c"), "upto", "borda-ranks")
-    ranks = ranks.select("group", "metric", "value", (F.col("upto") - (F.col("c") - 1) / 2).alias("rank"))
-    have = rows.groupBy("group", "metric").agg(F.count(F.lit(1)).alias("m"))
-    size = items.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    # the rank of a missing value is the same for a whole group and metric: one row each, added as an offset
-    missing = have.join(size, "group").select("group", "metric", ((F.col("m") + 1 + F.col("n")) / 2).alias("absent"))
-    base = missing.groupBy("group").agg(F.sum(F.col("absent") * weight).alias("base"))
-    points = rows.join(ranks, ["group", "metric", "value"]).join(missing, ["group", "metric"])
-    points = points.groupBy("group", "item").agg(F.sum((F.col("rank") - F.col("absent")) * weight).alias("gain"))
-    total = items.join(points, ["group", "item"], "left").join(base, "group", "left")
+    keys, order = ["group", "metric"], ["value"]
+    ranks = placed(counts, keys, [F.col("value").asc()], "borda-ranks")
+    # how many stand up to a value and how many behind it: their sum is the number of items that have one
+    c = F.col("c")
+    ranks = carried(ranks, keys, order, {"upto": Along("sum", c), "after": Along("sum", c, inclusive=False, backward=True)})
+    have = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")), "borda-counts")
+    # one row per group: broadcast if they are few, else joined by sorting
+    size = if_small(cut(items.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "borda-sizes"), 64)
+    # the rank of a missing value is the same for a whole group and metric: added as an offset of the group
+    absent = lambda m: (m + 1 + F.col("n")) / 2
+    base = have.join(size, "group").groupBy("group").agg(F.sum(absent(F.col("m")) * weight).alias("base"))
+    ranks = ranks.join(size, "group").select(*keys, "value", (F.col("upto") - (c - 1) / 2 - absent(F.col("upto") + F.col("after"))).alias("gain"))
+    points = rows.join(ranks, [*keys, "value"]).groupBy("group", "item").agg(F.sum(F.col("gain") * weight).alias("gain"))
+    total = items.join(points, ["group", "item"], "left").join(if_small(cut(base, "borda-base"), 64), "group", "left")
     penalty = F.round(F.coalesce("base", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0)), 6)
     total = total.select("group", "item", penalty.alias("penalty"))
     return row_numbers(total, ["group"], [F.col("penalty").asc(), F.col("item").asc()], "place", "borda-places")
