@@ -52,6 +52,17 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def move_folder(spark: SparkSession, path: str, to: str) -> None:
+    """Move a folder, in the place of what was there; nothing happens if there is none."""
+    jvm = spark._jvm
+    a, b = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(to)
+    fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(a):
+        fs.mkdirs(b.getParent())
+        fs.delete(b, True)
+        fs.rename(a, b)
+
+
 def folder_state(spark: SparkSession, path: str) -> tuple:
     """What tells one state of a file or folder from another: names, sizes and times of change."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -268,6 +268,20 @@ def test_a_table_of_queries_gives_what_single_queries_give(spark, ix):
         assert sorted((h.rank, h.file_id, h.start_sec, h.score) for h in together if h.query_id == i) == alone and alone
 
 
+def test_evaluation_of_one_split(spark, ix):
+    """Labels at the planted moments are all found first; those of the other split don't count."""
+    utts, planted = recordings()
+    rows = []
+    for n, (f, (i, _, word)) in enumerate(sorted(planted.items())):
+        said = next(u for u in utts if u[0] == f and u[1] == i)
+        rows.append((f"q{n}", word, "keyword", "test" if n else "dev", None, [(f, said[3], said[4], 2, word)]))
+    rows.append(("q9", "zephyrine", "keyword", "test", None, [("nowhere", 0.0, 1.0, 2, "")]))
+    qs = spark.createDataFrame(rows, "query_id string, query_text string, category string, split string, role string, relevant array<struct<file_id:string,start_sec:double,end_sec:double,grade:int,quote:string>>")
+    for split, n, found in (("test", 3, 2), ("dev", 1, 1), ("all", 4, 3)):
+        r = plan.evaluate(ix, qs, split=split).where("category = 'ALL'").first()
+        assert (r.queries, r.labels, r.found_1) == (n, n, found) and r.mrr == pytest.approx(found / n, abs=1e-5) and r.ms > 0
+
+
 def test_no_pairs_of_all_passages_and_queries(spark, ix):
     """Filtered queries are planned without a product of passages and queries."""
     qs = spark.createDataFrame([("a", '"marbling ovens"', "host"), ("b", "ovens", "guest")], "query_id string, query_text string, role string")

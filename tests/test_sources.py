@@ -1,8 +1,10 @@
 """Sources, sinks, the library and the way from recordings to an index."""
 
+import io
 import json
 import random
 import sys
+import wave
 from pathlib import Path
 
 import numpy as np
@@ -67,17 +69,29 @@ def test_responses_are_asked_for_once(spark, tmp_path):
         transcripts.recognise(wanted, cached).collect()
 
 
-def test_audio_is_read_at_one_rate(spark, tmp_path):
-    import wave
+def wav(x, rate, width=2, channels=1):
+    """A tone as the bytes of a file."""
+    top = 2 ** (8 * width - 1)
+    n = np.round(np.repeat(x[:, None], channels, 1) * (top - 1)).astype(np.int64).ravel()
+    raw = (n + 128).astype(np.uint8).tobytes() if width == 1 else b"".join(int(v).to_bytes(width, "little", signed=True) for v in n)
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(channels), w.setsampwidth(width), w.setframerate(rate)
+        w.writeframes(raw)
+    return out.getvalue()
+
 
-    for rate, channels in ((16_000, 1), (8_000, 2)):
-        x = np.sin(np.arange(rate) * 2 * np.pi * 5 / rate)
-        with wave.open(f"{tmp_path}/tone{rate}.wav", "wb") as w:
-            w.setnchannels(channels), w.setsampwidth(2), w.setframerate(rate)
-            w.writeframes((np.repeat(x[:, None], channels, 1) * 20_000).astype(np.int16).tobytes())
+def test_audio_is_read_at_one_rate(spark, tmp_path):
+    tone = lambda rate: 0.6 * np.sin(np.arange(rate // 2) * 2 * np.pi * 440 / rate)
+    kinds = [(16_000, 2, 1), (8_000, 2, 2), (44_100, 3, 1), (48_000, 4, 2), (22_050, 1, 1)]
+    for rate, width, channels in kinds:
+        (tmp_path / f"tone{rate}.wav").write_bytes(wav(tone(rate), rate, width, channels))
     got = {r.file_id: np.array(r.samples) for r in transcripts.read_audio(spark, f"{tmp_path}/*.wav").collect()}
-    want = np.sin(np.arange(16_000) * 2 * np.pi * 5 / 16_000) * 20_000 / 32_768
-    assert set(got) == {"tone16000", "tone8000"} and all(len(v) == 16_000 and np.abs(v - want).max() < 0.01 for v in got.values())
+    assert set(got) == {f"tone{r}" for r, *_ in kinds}
+    for name, x in got.items():
+        assert len(x) == 8_000 and np.abs(x - tone(16_000))[200:-200].max() < (0.02 if name == "tone22050" else 0.005), name
+    high = np.sin(np.arange(24_000) * 2 * np.pi * 15_000 / 48_000)  # what a lower rate can't hold is left out
+    assert np.abs(transcripts.resampled(high, 48_000, 16_000)[100:-100]).max() < 0.01
 
 
 def test_manifests_keep_their_head(spark, tmp_path):
@@ -194,49 +208,62 @@ def test_models_are_fed_in_batches(spark):
         assert np.allclose(r.v, v / max(np.linalg.norm(v), 1e-12)) and np.frombuffer(r.m, np.float16).tolist() == Letters().encode(r.t.split()).ravel().tolist() and r.j == len(r.t) / (len(r.t) + 2)
 
 
-def test_from_recordings_to_an_index(spark, tmp_path):
-    """Two voices of different pitch speak in turns; the words recognised become a transcript that names them, and the index follows the manifest."""
-    rate, rng = ingest.RATE, np.random.default_rng(5)
+def talk(f, turns=6, seed=5):
+    """Two voices of different pitch in turns: the samples, and what a recogniser makes of them."""
+    rate, rng, sound, words, at = ingest.RATE, np.random.default_rng(seed), [], [], 0.0
+    for turn in range(turns):
+        words += [{"word": f"{'high' if turn % 2 else 'low'}{f}{turn}", "start": at + 0.5 * k, "end": at + 0.5 * k + 0.5} for k in range(6)]
+        t = np.arange(3 * rate) / rate
+        sound += [0.5 * np.sin(2 * np.pi * (700 if turn % 2 else 200) * t) + 0.01 * rng.normal(size=len(t)), np.zeros(rate)]
+        at += 4.0
+    text = " ".join(w["word"] + ("." if i % 6 == 5 else "") for i, w in enumerate(words))
+    return np.concatenate(sound), {"text": text, "words": words, "segments": [{"end": at}]}
+
+
+def test_recordings_become_transcripts(spark):
+    """Who speaks is told by the voices, who leads by the roles."""
     audio, responses = [], []
     for f in ("one", "two"):
-        sound, words, at = np.zeros(0), [], 0.0
-        for turn in range(6):
-            n = 6
-            for k in range(n):
-                words.append({"word": f"{'high' if turn % 2 else 'low'}{turn}", "start": at + 0.5 * k, "end": at + 0.5 * k + 0.5})
-            t = np.arange(int(rate * 0.5 * n)) / rate
-            pitch = 700 if turn % 2 else 200
-            sound = np.concatenate([sound, 0.5 * np.sin(2 * np.pi * pitch * t) + 0.01 * rng.normal(size=len(t)), np.zeros(rate)])
-            at += 0.5 * n + 1
-        text = " ".join(w["word"] + ("." if i % 6 == 5 else "") for i, w in enumerate(words))
+        sound, said = talk(f)
         audio.append((f, sound.astype(np.float32).tolist()))
-        responses.append((f, text, words, [{"end": at}]))
+        responses.append((f, said["text"], said["words"], said["segments"]))
     a = spark.createDataFrame(audio, "file_id string, samples array<float>")
     r = spark.createDataFrame(responses, f"file_id string, {transcripts.RESPONSE}")
     names = spark.createDataFrame([("one", "Host One", "Guest One")], "file_id string, host string, guest string")
-    docs = ingest.build_transcripts(r, a, Loudness, names)
-    flat = transcripts.transcript_tables(docs)
+    flat = transcripts.transcript_tables(ingest.build_transcripts(r, a, Loudness, names))
     got = sorted((x.file_id, x.idx, x.speaker, x.text) for x in flat["utterances"].collect())
-    want = [(f, k, f"SPEAKER_0{k % 2}", " ".join([f"{'high' if k % 2 else 'low'}{k}"] * 6) + ".") for f in ("one", "two") for k in range(6)]
-    assert got == want
+    assert got == [(f, k, f"SPEAKER_0{k % 2}", " ".join([f"{'high' if k % 2 else 'low'}{f}{k}"] * 6) + ".") for f in ("one", "two") for k in range(6)]
     assert {x.file_id: x.duration_sec for x in flat["audio_files"].collect()} == pytest.approx({"one": 24.0, "two": 24.0})
+    assert {(x.file_id, x.label, x.role) for x in flat["speakers"].collect()} == {(f, f"SPEAKER_0{k}", ("host", "guest")[k]) for f in ("one", "two") for k in (0, 1)}
 
-    from earshot.plans import search as plan
-
-    listed = lambda *ids: spark.createDataFrame([(i,) for i in ids], "file_id string")
-    folder, built = f"file://{tmp_path}/index", []
-
-    def build(*ids):
-        def run():
-            built.append(ids)
-            keep = lambda df: df.join(listed(*ids), "file_id", "left_semi")
-            return plan.build_index(keep(flat["audio_files"]), keep(flat["speakers"]), keep(flat["utterances"]), target=8, stride=4)
 
-        return run
+def test_a_library_follows_its_uploads(spark, tmp_path):
+    """Added recordings can be found, removed ones can't, failed ones leave nothing behind, and a lost index is built again."""
+    from earshot.plans import recordings
+    from earshot.plans import search as plan
 
-    assert ingest.rebuild_if_needed(spark, folder, listed("one"), build("one")) and not ingest.rebuild_if_needed(spark, folder, listed("one"), build("one"))
-    assert ingest.rebuild_if_needed(spark, folder, listed("one", "two"), build("one", "two")) and built == [("one",), ("one", "two")]
-    store = Store(spark, folder)
-    ix = {n: store.read(n) for n in ("audio_files", "speakers", "utterances", "passages", "late_vectors", "postings", "stems", "vocabulary")}
-    hit = plan.search_one(ix, "high3").orderBy("rank").first()
-    assert hit.speaker == "SPEAKER_01" and "high3" in hit.text and {x.file_id for x in ix["passages"].collect()} == {"one", "two"}
+    said = {f: talk(f, turns=4) for f in ("one", "two")}
+
+    def recognise(path):
+        name = Path(path).stem
+        if name not in said:
+            raise ValueError("nothing is said")
+        return said[name][1]
+
+    lib = recordings.Recordings(spark, str(tmp_path / "lib"), recognise, Loudness, target=8, stride=4)
+    for f in said:
+        assert lib.add(f"{f}.wav", wav(said[f][0], ingest.RATE), title=f"Talk {f}") == f and not lib.library.jobs
+    find = lambda ix, text: [(h.file_id, h.speaker, h.title) for h in plan.search_one(ix, text).orderBy("rank").collect()]
+    assert find(lib.index(), "hightwo3")[0] == ("two", "SPEAKER_01", "Talk two")
+    bad = lib.add("noise.wav", wav(np.zeros(16_000), ingest.RATE))
+    assert "nothing is said" in lib.library.jobs[bad]["status"] and not (tmp_path / "lib/audio/noise").exists()
+    assert [(f, s.split(":")[0]) for f, _, _, s in lib.listing()] == [("noise", "failed"), ("one", "ready"), ("two", "ready")]
+    lib.remove(bad)
+    lib.remove("two")
+    assert {r.file_id for r in lib.index()["passages"].collect()} == {"one"} and (tmp_path / "lib/removed/audio/two").exists()
+    with pytest.raises(LookupError):
+        lib.remove("two")
+    again = recordings.Recordings(spark, str(tmp_path / "lib"), recognise, Loudness, target=8, stride=4)
+    assert again.library.manifest == {"one": "Talk one"} and not again.start()
+    (tmp_path / "lib/index/CURRENT").unlink()
+    assert again.start() and [f for f, *_ in again.listing()] == ["one"]
