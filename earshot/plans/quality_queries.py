@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from earshot.operators import evaluation, library
 from earshot.plans.sql import A, C, H, S, U
+from earshot.session import owned
 from earshot.sources import catalog
+from earshot.sources.store import list_folder
 from earshot.sources.tables import table
 from earshot.streaming import sessions
 
@@ -100,6 +102,18 @@ def event_sessions(spark, folder):
     return rows.select("user_id", *[F.unix_micros(F.col(c).cast("timestamp")).alias(f"{c}_us") for c in ("begin", "finish")], "n")
 
 
+def streamed_sessions(spark, folder):
+    """The same sessions, kept by a stream of the events' files."""
+    events = table(spark, folder, "events")
+    landed = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1)
+    inside = any(name.endswith(".parquet") for name in list_folder(spark, f"{folder}/events.parquet") if name != "events.parquet")
+    stream = landed.parquet(f"{folder}/events.parquet") if inside else landed.option("pathGlobFilter", "events.parquet").parquet(folder)
+    path = owned(spark, "sessions")
+    sessions.sessions_so_far(stream, path, owned(spark, "sessions-checkpoint"), gap="8 hours").awaitTermination()
+    rows = spark.read.parquet(path)
+    return rows.select("user_id", *[F.unix_micros(F.col(c).cast("timestamp")).alias(f"{c}_us") for c in ("begin", "finish")], "n")
+
+
 HL = f"{H}, l AS (SELECT query_id, CAST(i - 1 AS INT) AS n, relevant[i].file_id AS file_id, relevant[i].start_sec AS s, relevant[i].end_sec AS e, relevant[i].grade AS grade, relevant[i].quote AS quote FROM (SELECT *, unnest(range(1, len(relevant) + 1)) AS i FROM queries))"
 PAIRS = "pr AS (SELECT l.query_id, n, hit_id, rank FROM h JOIN l ON h.query_id = l.query_id AND h.file_id = l.file_id AND h.start_sec <= e + 5 AND h.end_sec >= s - 5)"
 KS = evaluation.CUTS
@@ -108,7 +122,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         interval_eval_join, recall_mrr, label_merge, label_ranges, frozen_labels, category_counts, library_listing, set_equality, removal, duplicate_ids,
-        not_built, orphan_hits, ingest_summary, event_sessions,
+        not_built, orphan_hits, ingest_summary, event_sessions, streamed_sessions,
     )
 }
 _SUMS = ["n_match", "n_related", "ok_match", "ok_related", "labels", *[f"{x}_{k}" for k in KS for x in ("found", "best")]]
@@ -157,3 +171,4 @@ SQL = {
         y AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM x)
         SELECT user_id, epoch_us(min(ts)) AS begin_us, epoch_us(max(ts) + INTERVAL 8 HOUR) AS finish_us, count(*) AS n FROM y GROUP BY user_id, run""",
 }
+SQL["streamed_sessions"] = SQL["event_sessions"]

@@ -200,3 +200,16 @@ def test_pointers_are_replaced_whole(spark, tmp_path):
         store.replace_file(spark, path, text)
         assert store.read_file(spark, path) == text
     assert [n for n in store.list_folder(spark, f"file://{tmp_path}/state") if not n.startswith(".")] == ["CURRENT"]
+
+
+def test_sessions_on_a_stream_are_those_of_the_table(spark, tmp_path):
+    from earshot.streaming import sessions
+
+    rng = random.Random(6)
+    events = [(u, f"2024-03-0{rng.randrange(1, 6)} {rng.randrange(24):02d}:{rng.randrange(60):02d}:00") for u in range(3) for _ in range(60)]
+    df = spark.createDataFrame(events, "user_id int, ts string").selectExpr("user_id", "to_timestamp(ts) AS ts")
+    df.repartition(5).write.parquet(f"{tmp_path}/in")  # a session may be spread over several files
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    sessions.sessions_so_far(stream, f"{tmp_path}/out", f"{tmp_path}/cp", gap="45 minutes").awaitTermination()
+    plain = lambda d: sorted(map(tuple, d.collect()))
+    assert plain(spark.read.parquet(f"{tmp_path}/out")) == plain(sessions.activity_sessions(df, gap="45 minutes"))
