@@ -9,6 +9,7 @@ from earshot.functions import queries as q
 from earshot.functions import text as t
 from earshot.functions.phonetics import sound_codes, stemmed
 from earshot.operators import expansion, index, late, moments, search
+from earshot.plans.published import published
 from earshot.plans.sql import A, C, H, S, U, content, tok
 from earshot.plans.text_queries import ASKS, DF, LEN, POST, QP, QT, STATS, STOP, VOCAB, passages
 from earshot.session import cut
@@ -22,10 +23,15 @@ def asked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _index(spark, folder):
-    p = passages(spark, folder)
-    post = cut(index.postings(p), "postings")
-    lengths = cut(index.doc_lengths(p, post), "lengths")
-    return post, lengths, index.lexeme_frequencies(post), index.corpus_stats(lengths)
+    """Postings over plain tokens, lengths, frequencies and corpus statistics of the passages."""
+
+    def build():
+        p = passages(spark, folder)
+        post = cut(index.postings(p), "postings")
+        return {"postings": post, "lengths": index.doc_lengths(p, post), "frequencies": index.lexeme_frequencies(post)}
+
+    ix = published(spark, "postings", folder, ("chunks",), build)
+    return ix["postings"], ix["lengths"], ix["frequencies"], index.corpus_stats(ix["lengths"])
 
 
 def bm25_topk(spark, folder):
