@@ -49,7 +49,22 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """
     path = owned(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._written_to = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by ``cut`` that nothing reads any more: what was made of them has been written itself."""
+    for df in tables:
+        _delete(df.sparkSession, df._written_to)
+        if df._written_to in _WRITTEN:
+            _WRITTEN.remove(df._written_to)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def together(*jobs: Callable[[], T]) -> list[T]:
@@ -63,8 +78,7 @@ def release(spark: SparkSession) -> int:
 
     For a long-lived application: call it when the result of a query has been written.
     """
-    jvm, n = spark._jvm, len(_WRITTEN)
+    n = len(_WRITTEN)
     while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _WRITTEN.pop())
     return n

@@ -113,7 +113,10 @@ def test_written_tables_can_be_released(spark, tmp_path):
         df = session.cut(spark.range(3), "short")
         path = Path(df.inputFiles()[0].removeprefix("file://")).parent
         assert df.count() == 3 and path.exists()
-        assert session.release(spark) == 1 and not path.exists()
+        other = session.cut(df.withColumn("x", F.lit(1)), "made-of-it")
+        session.discard(df)
+        assert not path.exists() and other.count() == 3
+        assert session.release(spark) == 1 and not Path(other._written_to.removeprefix("file://")).exists()
     finally:
         session._WRITTEN[:] = kept
 
