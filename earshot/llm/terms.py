@@ -15,7 +15,7 @@ from earshot.sources.store import delete_folder, list_folder, read_file, replace
 #: The row of a state that counts the records themselves; no token is empty.
 RECORDS = ""
 #: Into how many parts a new state is divided: a parameter, kept with the state.
-BUCKETS = 64
+BUCKETS = 32
 
 
 def term_changes(changes: DataFrame, text: str = "text", sign: str = "sign", by: tuple[str, ...] = ()) -> DataFrame:
