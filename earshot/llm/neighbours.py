@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.operators.search import if_small
-from earshot.session import cut
+from earshot.session import cut, discard
 
 #: A sketch has this many coordinates of four bits.
 SKETCH = 64
@@ -416,6 +416,7 @@ def most_similar(
     least, keep = (-2.0, max(crowd, 4 * k)) if min_cosine is None else (min_cosine - slack, max(crowd, 4 * k))
     found = forest.mapInArrow(_walker(length, least, near - slack, keep), "a long, b long, near boolean")
     found = cut(found.groupBy("a", "b").agg(F.max("near").alias("near")), "forest-pairs")
+    discard(line, classes)
     pairs = found.select("a", "b")
 
     met = found.where("near").select(F.explode(F.array("a", "b")).alias("p0")).groupBy("p0").count()
