@@ -12,12 +12,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from earshot.operators.search import if_small
 from earshot.session import cut
 
 WORD = re.compile(r"\w+")
 #: Character classes: lower case, upper case, other letters, digits, blanks, the rest.
 N_CLASSES = 6
 RUN = 5
+#: Runs of texts up to so many words are first looked up in a set, which is quicker but takes more memory.
+SHORT = 10_000
+#: Texts are worked on together up to so many characters.
+TOGETHER = 1 << 22
 
 
 def _classes() -> np.ndarray:
@@ -28,19 +33,20 @@ def _classes() -> np.ndarray:
     return table
 
 
-def class_counts(text: str, table: np.ndarray) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    points = table[np.minimum(points, 0xFFFF)]
-    return np.bincount(points, minlength=N_CLASSES).astype(np.float64)
+def class_counts(texts: list[str], table: np.ndarray) -> np.ndarray:
+    """The characters of each text by class, a row per text."""
+    points = table[np.minimum(np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32), 0xFFFF)]
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return np.bincount(owner * N_CLASSES + points, minlength=len(texts) * N_CLASSES).reshape(-1, N_CLASSES).astype(np.float64)
 
 
-def divergence(p: np.ndarray, q: np.ndarray) -> float:
-    """The Jensen-Shannon distance of two histograms, from 0 (alike) to 1 (disjoint)."""
-    p, q = p / p.sum(), q / q.sum()
-    m = (p + q) / 2
+def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The Jensen-Shannon distance of histograms, row by row, from 0 (alike) to 1 (disjoint); NaN if one is empty."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        a, b = np.where(p > 0, p * np.log2(p / m), 0).sum(), np.where(q > 0, q * np.log2(q / m), 0).sum()
-    return float(np.sqrt(max(0.0, (a + b) / 2)))
+        p, q = p / p.sum(-1, keepdims=True), q / q.sum(-1, keepdims=True)
+        m = (p + q) / 2
+        a, b = (np.where(x > 0, x * np.log2(x / m), 0 * x).sum(-1) for x in (p, q))
+    return np.sqrt(np.maximum(0.0, (a + b) / 2))
 
 
 def repeated_share(words: list[str], run: int = RUN) -> float:
@@ -51,6 +57,8 @@ def repeated_share(words: list[str], run: int = RUN) -> float:
     n = len(words)
     if n <= run:
         return 0.0
+    if n <= SHORT and len(set(zip(*(words[i:] for i in range(run))))) == n - run + 1:
+        return 0.0  # no run returns
     number: dict[str, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
     code, length = ids, 1
@@ -66,29 +74,51 @@ def repeated_share(words: list[str], run: int = RUN) -> float:
     return float((np.cumsum(covered)[:n] > 0).sum() / n)
 
 
+def _stretches(texts: list[str]) -> Iterator[slice]:
+    """Texts that follow each other, as many as are worked on together."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        if i > first and size + len(t) > TOGETHER:
+            yield slice(first, i)
+            first, size = i, 0
+        size += len(t)
+    if first < len(texts):
+        yield slice(first, len(texts))
+
+
 def _counter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per batch and language: occurrences of each word, and of each character class (named by a blank and its number)."""
     table = _classes()
     for pdf in batches:
         words: dict[str, Counter] = defaultdict(Counter)
         chars: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(N_CLASSES))
-        for lang, text in zip(pdf["lang"], pdf["text"]):
-            words[lang].update(WORD.findall(text.lower()))
-            chars[lang] += class_counts(text, table)
-        rows = [(lang, w, n) for lang, c in words.items() for w, n in c.items()]
-        rows += [(lang, f" {i}", int(n)) for lang, c in chars.items() for i, n in enumerate(c)]
+        langs, every, weights = (pdf[c].tolist() for c in ("lang", "text", "weight"))
+        for part in _stretches(every):
+            for lang, text, weight, row in zip(langs[part], every[part], weights[part], class_counts(every[part], table)):
+                found = WORD.findall(text.lower())
+                if weight == 1:
+                    words[lang].update(found)
+                else:
+                    for w in found:
+                        words[lang][w] += weight
+                chars[lang] += row * weight
+        rows = [(lang, w, float(n)) for lang, c in words.items() for w, n in c.items()]
+        rows += [(lang, f" {i}", float(n)) for lang, c in chars.items() for i, n in enumerate(c)]
         yield pd.DataFrame(rows, columns=["lang", "term", "n"])
 
 
 def language_references(texts: DataFrame, *, common_words: int = 60, least_share: float = 0.001) -> dict:
-    """{language: ({word: place}, word histogram, class histogram)} over all texts (lang, text).
+    """{language: (words, word histogram, class histogram)} over all texts (lang, text).
 
-    Equal texts count once, however often they were copied. Counting covers every text; each task adds up its own words
-    before the shuffle. Languages that hold at least ``least_share`` of all words have a reference: there can't be more
+    Equal texts count once, however often they were copied: each of c copies counts 1 / c, so only the prints of texts
+    travel to find out, not the texts. Counting covers every text; each task adds up its own words before the shuffle.
+    Languages that hold at least ``least_share`` of all words have a reference: there can't be more
     than 1 / least_share of them, so what comes to the driver (``common_words`` words of each) is bounded.
     """
-    once = texts.groupBy("lang", F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.first("text").alias("text"))
-    counts = once.select("lang", "text").mapInPandas(_counter, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    printed = texts.select("lang", "text", F.xxhash64("text").alias("h"), F.length("text").alias("size"))
+    copies = printed.groupBy("lang", "h", "size").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    weighed = printed.join(if_small(cut(copies, "copies"), 48), ["lang", "h", "size"], "left").select("lang", "text", (1 / F.coalesce("c", F.lit(1))).alias("weight"))
+    counts = weighed.mapInPandas(_counter, "lang string, term string, n double").groupBy("lang", "term").agg(F.round(F.sum("n"), 6).alias("n"))
     counts = cut(counts, "language-counts")
     special = F.col("term").startswith(" ")
     sums = counts.where(~special).groupBy("lang").agg(F.sum("n").alias("n"))
@@ -112,33 +142,40 @@ def language_references(texts: DataFrame, *, common_words: int = 60, least_share
     return out
 
 
-def _strays(words: list[str], text: str, reference, table: np.ndarray) -> tuple[float, float] | None:
-    """The distances of a text from the other texts of its language: by common words and by character classes."""
+def _strays(words: list[list[str]], classes: np.ndarray, reference) -> tuple[np.ndarray, np.ndarray]:
+    """The distances of texts of one language from all others of it: by common words and by character classes."""
     common, hist, chars = reference
-    count = Counter(words)
-    mine = np.array([count[w] for w in common] + [0], np.float64)
-    mine[-1] = len(words) - mine.sum()
-    classes = class_counts(text, table)
-    others, other_classes = np.maximum(hist - mine, 0), np.maximum(chars - classes, 0)
-    if not others.sum() or not other_classes.sum():
-        return None
-    return divergence(mine, others), divergence(classes, other_classes)
+    mine = np.zeros((len(words), len(common) + 1))
+    for i, w in enumerate(words):
+        count = Counter(w)
+        mine[i, :-1] = [count[x] for x in common]
+        mine[i, -1] = len(w)
+    mine[:, -1] -= mine[:, :-1].sum(1)
+    return divergence(mine, np.maximum(hist - mine, 0)), divergence(classes, np.maximum(chars - classes, 0))
 
 
 def _measurer(references: dict, min_words: int, screen: float, power: float, char_screen: float, only_suspects: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = _classes()
         for pdf in batches:
-            rows = []
-            for key, lang, text in zip(pdf["k"], pdf["lang"], pdf["text"]):
-                words = WORD.findall(text.lower())
-                n, far = len(words), None
-                if n >= min_words and lang in references:  # histograms of shorter texts say nothing
-                    far = _strays(words, text, references[lang], table)
-                suspect = far is None or far[0] >= screen * n**-power or far[1] >= char_screen
-                if suspect or not only_suspects:
-                    rows.append((key, n, *(far or (None, None)), suspect, repeated_share(words)))
-            yield pd.DataFrame(rows, columns=["k", "n_words", "word_distance", "class_distance", "suspect", "share"])
+            every = pdf["text"].tolist()
+            for part in _stretches(every):
+                some = pdf.iloc[part]
+                words = [WORD.findall(t.lower()) for t in every[part]]
+                n, classes = np.array([len(w) for w in words]), class_counts(every[part], table)
+                far = np.full((2, len(words)), np.nan)
+                for lang in set(some["lang"]) & set(references):
+                    at = np.flatnonzero((some["lang"].to_numpy() == lang) & (n >= min_words))  # histograms of shorter texts say nothing
+                    far[:, at] = _strays([words[i] for i in at], classes[at], references[lang])
+                # what can't be held against anything is suspect
+                honest = (far[0] < screen * np.maximum(n, 1.0) ** -power) & (far[1] < char_screen)
+                keep = np.flatnonzero(~honest) if only_suspects else np.arange(len(words))
+                known = ~np.isnan(far).any(0)
+                far = np.where(known, far, np.nan)
+                yield pd.DataFrame({
+                    "k": some["k"].to_numpy()[keep], "n_words": n[keep], "word_distance": pd.array(far[0][keep], "Float64"), "class_distance": pd.array(far[1][keep], "Float64"),
+                    "suspect": ~honest[keep], "share": np.array([repeated_share(words[i]) for i in keep], np.float64),
+                })
 
     return run
 
