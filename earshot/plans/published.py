@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earshot.session import owned
+from earshot.session import owned, release, written
 from earshot.sources.store import Store, folder_state
 
 _KNOWN: dict[tuple[str, str, str], tuple[tuple, str, str, list[str]]] = {}
@@ -17,7 +17,9 @@ def published(spark: SparkSession, name: str, folder: str, sources: tuple[str, .
     known = (spark.sparkContext.applicationId, name, folder)
     state = tuple(folder_state(spark, f"{folder}/{n}.parquet") for n in sources)
     if known not in _KNOWN or _KNOWN[known][0] != state:
-        place, tables = owned(spark, name, lasting=True), build()
+        place, steps = owned(spark, name, lasting=True), written()
+        tables = build()
         _KNOWN[known] = (state, place, Store(spark, place).rebuild(tables), list(tables))
+        release(spark, steps)  # what was written on the way
     _, place, version, names = _KNOWN[known]
     return {n: Store(spark, place).read(n, version) for n in names}

@@ -73,12 +73,17 @@ def together(*jobs: Callable[[], T]) -> list[T]:
         return [f.result() for f in [pool.submit(j) for j in jobs]]
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables written so far, once nothing reads them any more; returns how many there were.
+def written() -> int:
+    """How many written tables there are, for ``release``."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, but: int = 0) -> int:
+    """Delete the tables written so far, ``but`` for so many first ones, once nothing reads them any more; returns how many there were.
 
     For a long-lived application: call it when the result of a query has been written.
     """
-    n = len(_WRITTEN)
-    while _WRITTEN:
+    n = len(_WRITTEN) - but
+    while len(_WRITTEN) > but:
         _delete(spark, _WRITTEN.pop())
     return n
