@@ -12,7 +12,7 @@ from earshot.operators import expansion, index, late, moments, search
 from earshot.plans.published import published
 from earshot.plans.sql import A, C, H, S, U, content, tok
 from earshot.plans.text_queries import ASKS, DF, LEN, POST, QP, QT, STATS, STOP, VOCAB, passages
-from earshot.session import cut
+from earshot.session import cut, discard
 from earshot.sources import catalog
 from earshot.sources.tables import table
 
@@ -168,7 +168,7 @@ def snap_best_sentence(spark, folder):
     """The best sentence of the three best passages of each query, by its words and by how near its vector is to the passage's."""
     lexemes = search.query_lexemes(asked(spark, folder))
     post, lengths, df, stats = _index(spark, folder)
-    found = cut(search.bm25(lexemes, post, lengths, df, stats, depth=3).select("query_id", "id"), "found")
+    found = cut(search.bm25(lexemes, post, lengths, df, stats, depth=3, matched=False).select("query_id", "id"), "found")
     c = catalog.chunks(spark, folder, "file_id", "utt_start", "utt_end", "embedding").join(found.select("id").distinct(), "id", "left_semi")
     u = cut(search.passage_utterances(c.drop("embedding"), catalog.utterances(spark, folder, "text", "embedding")), "sentences")
     sem = u.join(c.select("id", F.col("embedding").alias("whole")), "id").select("id", "idx", F.round(search.paired_cosine(F.col("embedding"), F.col("whole")), 9).alias("sem"))
@@ -192,7 +192,7 @@ def hybrid_topk(spark, folder):
     c = cut(catalog.chunks(spark, folder, "text", "embedding"), "passages")
     mine = c.withColumnRenamed("id", "query_id").join(probes, "query_id", "left_semi")
     post, lengths, df, stats = _index(spark, folder)
-    words = search.bm25(search.query_lexemes(mine), post, lengths, df, stats)
+    words = search.bm25(search.query_lexemes(mine), post, lengths, df, stats, matched=False)
     near = search.dense(mine.select("query_id", F.col("embedding").alias("vector")), c.select("id", F.col("embedding").alias("vector")))
     place = lambda d, name: d.select("query_id", F.lit(name).alias("channel"), "id", F.col("rank").alias("place"), F.lit(1.0).alias("multiplier"))
     fused = search.fuse(place(words, "lexical").unionByName(place(near, "dense"))).where("query_id <> id").drop("rank")
@@ -252,10 +252,11 @@ def stemmed_bm25(spark, folder):
     stems = cut(words.select("lexeme").distinct().where(~F.col("lexeme").isin(t.STOP_WORDS)).select("lexeme", stemmed(F.col("lexeme")).alias("stem")), "stems")
     post = words.join(stems, "lexeme").groupBy("id", F.col("stem").alias("lexeme")).agg(F.sum("tf").alias("tf"))
     post = cut(post, "postings")
-    lengths = index.doc_lengths(p, post)
+    discard(words)
+    lengths = cut(index.doc_lengths(p, post), "lengths")
     ask = search.query_lexemes(asked(spark, folder)).where(~F.col("lexeme").isin(t.STOP_WORDS))
     ask = ask.select("query_id", stemmed(F.col("lexeme")).alias("lexeme"), "w").groupBy("query_id", "lexeme").agg(F.sum("w").alias("w"))
-    found = search.bm25(ask, post, lengths, index.lexeme_frequencies(post), index.corpus_stats(lengths))
+    found = search.bm25(ask, post, lengths, index.lexeme_frequencies(post), index.corpus_stats(lengths), matched=False)
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
