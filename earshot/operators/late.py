@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,29 @@ def packed_maxsim(left: Column, right: Column, width: int) -> Column:
     return run(left, right)
 
 
+def packed_scores(asked: pa.Table, width: int):
+    """For ``mapInArrow``: the score of ``packed_maxsim`` of pairs (query_id, id, colbert), with what a query asks in ``asked`` (query_id, asks).
+
+    Pairs of other queries, and passages without vectors, have no score.
+    """
+    unpacked = lambda v: np.frombuffer(v, np.float16).astype(np.float32).reshape(-1, width)
+    asks = dict(zip(asked["query_id"].to_pylist(), asked["asks"].to_pylist()))
+
+    def run(batches):
+        for x in batches:
+            scores = []
+            for k, v in zip(x.column("query_id").to_pylist(), x.column("colbert")):
+                a, v = asks.get(k), v.as_buffer()
+                if a is None or v is None:
+                    scores.append(None)
+                    continue
+                q, d = unpacked(a), unpacked(v)
+                scores.append(float((d @ q.T).max(0).sum()) if len(q) and len(d) else 0.0)
+            yield pa.RecordBatch.from_arrays([x.column("query_id"), x.column("id"), pa.array(scores, pa.float64())], ["query_id", "id", "late"])
+
+    return run
+
+
 def half(vectors) -> bytes:
     return np.asarray(vectors, np.float16).tobytes()
 
@@ -94,7 +118,7 @@ def word_vectors(text: Column, dim: int = 768) -> Column:
     return run(_plain(text))
 
 
-def token_vectors(text: Column, dim: int = 256) -> Column:
+def token_vectors(text: Column, dim: int = 256, at_a_time: int = 500) -> Column:
     """A stand-in for a token encoder: each word by its beginnings and endings, as half-precision bytes."""
 
     @F.pandas_udf("binary")
@@ -109,7 +133,8 @@ def token_vectors(text: Column, dim: int = 256) -> Column:
             return known[w]
 
         for s in parts:
-            yield s.map(lambda t: None if t is None else half([one(w) for w in t]))
+            for a in range(0, len(s), at_a_time):  # vectors of few texts leave at a time
+                yield s.iloc[a : a + at_a_time].map(lambda t: None if t is None else half([one(w) for w in t]))
 
     return run(_plain(text))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earshot.session import owned, release, written
+from earshot.session import owned, release, tidy, written
 from earshot.sources.store import Store, folder_state
 
 _KNOWN: dict[tuple[str, str, str], tuple[tuple, str, str, list[str]]] = {}
@@ -20,6 +20,8 @@ def published(spark: SparkSession, name: str, folder: str, sources: tuple[str, .
         place, steps = owned(spark, name, lasting=True), written()
         tables = build()
         _KNOWN[known] = (state, place, Store(spark, place).rebuild(tables), list(tables))
+        del tables
         release(spark, steps)  # what was written on the way
+        tidy(spark)
     _, place, version, names = _KNOWN[known]
     return {n: Store(spark, place).read(n, version) for n in names}

@@ -62,6 +62,11 @@ def discard(*tables: DataFrame) -> None:
             _WRITTEN.remove(df._written_to)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of the shuffle files of jobs that are over: Spark deletes them once the driver's JVM has collected what named them."""
+    spark._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
