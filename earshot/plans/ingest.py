@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from earshot.operators import diarization, library, segments
 from earshot.operators.models import VoiceEncoder
-from earshot.session import cut
+from earshot.session import cut, tidy
 from earshot.sources import transcripts
 from earshot.sources.store import Store
 
@@ -64,11 +64,16 @@ def speakers_of(words: DataFrame, voices: DataFrame, segment_ends: DataFrame | N
     Voices are clustered in two, windows spread over frames, frames gathered under words; the cheapest sequence of changes
     decides, and who speaks first is SPEAKER_00.
     """
+    spark = words.sparkSession
     words = cut(words.select("file_id", "idx", "text", "start_sec", "end_sec"), "diarised-words")
-    frames = segments.frame_posteriors(diarization.window_posteriors(voices))
-    like = segments.word_likelihoods(words, cut(frames, "frames"))
-    free = segments.boundaries(words, segment_ends).select("file_id", "idx", "boundary")
-    path = cut(segments.viterbi(like.join(free, ["file_id", "idx"])), "paths")
+    voices = cut(diarization.window_posteriors(voices), "posteriors")
+    tidy(spark)
+    free = segments.boundaries(words, segment_ends).select("file_id", "idx", "start_sec", "end_sec", "boundary")
+    like = segments.heard(free, voices)
+    like = like.withColumns({c: F.round(c, 9) for c in ("l0", "l1")})  # so that no tie is decided by the last digit of a sum
+    tidy(spark)
+    path = cut(segments.viterbi(like), "paths")
+    tidy(spark)
     named = segments.first_speaker(path).select("file_id", "idx", F.col("label").alias("speaker"))
     return words.join(named, ["file_id", "idx"])
 
