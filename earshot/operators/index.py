@@ -24,10 +24,10 @@ def positional_postings(passages: DataFrame, stop: list[str], stems) -> tuple[Da
     column of words into stems; it sees every distinct word once.
     """
     words = passages.select("id", F.posexplode(tokens(F.col("text"))).alias("at", "lexeme")).where(~F.col("lexeme").isin(stop))
-    words = cut(words.groupBy("id", "lexeme").agg(F.collect_list("at").alias("places")), "passage-words")
+    words = cut(words, "passage-words")  # few repeat within a passage, so they are gathered by stem alone
     table = words.select("lexeme").distinct()
     table = cut(table.select("lexeme", stems(F.col("lexeme")).alias("stem")), "stems")
-    post = words.join(table, "lexeme").groupBy("id", F.col("stem").alias("lexeme")).agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+    post = words.join(table, "lexeme").groupBy("id", F.col("stem").alias("lexeme")).agg(F.array_sort(F.collect_list("at")).alias("places"))
     return post.select("id", "lexeme", F.size("places").cast("long").alias("tf"), "places"), table
 
 
@@ -49,8 +49,9 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
 
 def vocabulary(passages: DataFrame) -> DataFrame:
     """(term, df): the content words of all passages and the number of passages with them."""
-    words = F.array_distinct(content_tokens(tokens(F.col("text"))))
-    return passages.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = passages.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # what a content word is depends on the word alone, so each is judged once; with df in it, the condition stays behind the count
+    return terms.where(F.when(F.col("df") > 0, F.size(content_tokens(F.array("term")))) > 0)
 
 
 def inverse_frequency(n, df):
