@@ -85,7 +85,8 @@ class Store:
         version = uuid.uuid4().hex
 
         def write(name: str, df: DataFrame) -> None:
-            writer = df.write.mode("errorifexists")
+            # an index is written once and lasts; vectors of words that return take a fraction of their bytes
+            writer = df.write.mode("errorifexists").option("compression", "zstd")
             if partition_by and name in partition_by:
                 writer = writer.partitionBy(*partition_by[name])
             writer.parquet(f"{self.folder}/{version}/{name}")
